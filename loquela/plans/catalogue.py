@@ -39,17 +39,17 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-V_SQL = """SELECT event_id, ts, event_type AS character, user_id AS source,
-  CAST(json_extract_string(props, '$.k') AS INTEGER) AS natural,
+V_SQL = """SELECT event_id, ts, event_type AS "character", user_id AS source,
+  CAST(json_extract_string(props, '$.k') AS INTEGER) AS "natural",
   CAST(floor(value / 100) AS INTEGER) AS weight FROM events"""
 
 
 @query(
     "dice_stats",
     f"""WITH v AS ({V_SQL})
-SELECT coalesce(nullif(character, ''), '?') AS character, round(avg(natural), 9) AS avg_natural,
-  count(*) AS n, count(*) FILTER (natural = 20) AS nat20, count(*) FILTER (natural = 1) AS nat1
-FROM v WHERE natural IS NOT NULL GROUP BY 1""",
+SELECT coalesce(nullif("character", ''), '?') AS "character", round(avg("natural"), 9) AS avg_natural,
+  count(*) AS n, count(*) FILTER ("natural" = 20) AS nat20, count(*) FILTER ("natural" = 1) AS nat1
+FROM v WHERE "natural" IS NOT NULL GROUP BY 1""",
 )
 def dice_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loquela.operators import reports
