@@ -41,11 +41,6 @@ def _scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return q @ d.T
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
 def search_range(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[int, int, int]]:
     """(query, document, score) rows: each query's k best in one range, by pruned blocks."""
     order = np.argsort(did, kind="stable")
@@ -102,13 +97,15 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int = 5, block: int = BLOCK, r
     q = queries.filter(F.size("v") == dims).select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"))
     q = q.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
 
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def tile(rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, int]] = []
+        left, right = rows[rows["is_query"]], rows[~rows["is_query"]]
         if len(left) and len(right):
             a, b = (np.vstack(x["v"].to_list()).astype(np.int64) for x in (left, right))
             found = search_range(left["vec_id"].to_numpy(), a, right["vec_id"].to_numpy(), b, k, block)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
 
-    near = q.groupBy("r", "g").cogroup(d.groupBy("r", "g")).applyInPandas(tile, "query_id long, vec_id long, score long")
+    both = q.withColumn("is_query", F.lit(True)).unionByName(d.withColumn("is_query", F.lit(False)))
+    near = both.groupBy("r", "g").applyInPandas(tile, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
