@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 BLOCK, RANGE, GROUP = 128, 8192, 2048
 #: Doubles hold integers exactly below this.
 EXACT = float(1 << 53)
+#: Placeholders of an unfilled place: a score whose negation fits, and an id behind all others.
+NONE, LAST = -np.iinfo(np.int64).max, np.iinfo(np.int64).max
 
 
 def quantised(vector: Column, scale: float = 256.0) -> Column:
@@ -54,8 +56,8 @@ def search_range(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray,
         bounds += np.abs(bounds) * 1e-9 + 1
     visits = np.argsort(-bounds, axis=1, kind="stable")
     n = len(q)
-    top_ids = np.full((n, k), np.iinfo(np.int64).max)
-    top = np.full((n, k), np.iinfo(np.int64).min)
+    top_ids = np.full((n, k), LAST, np.int64)
+    top = np.full((n, k), NONE, np.int64)
     full = np.zeros(n, bool)
     live = np.arange(n)
     for step in range(len(cuts)):
@@ -69,12 +71,12 @@ def search_range(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray,
             ids = did[cuts[b] : cuts[b] + block]
             s = _scores(q[who], d[cuts[b] : cuts[b] + block])
             own = ids[None, :] == qid[who][:, None]
-            s = np.concatenate([top[who], np.where(own, np.iinfo(np.int64).min, s)], axis=1)
-            i = np.concatenate([top_ids[who], np.where(own, np.iinfo(np.int64).max, np.broadcast_to(ids, own.shape))], axis=1)
+            s = np.concatenate([top[who], np.where(own, NONE, s)], axis=1)
+            i = np.concatenate([top_ids[who], np.where(own, LAST, np.broadcast_to(ids, own.shape))], axis=1)
             best = np.lexsort((i, -s), axis=1)[:, :k]
             top[who], top_ids[who] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
-        full[live] = top_ids[live, k - 1] != np.iinfo(np.int64).max
-    r, c = np.nonzero(top_ids != np.iinfo(np.int64).max)
+        full[live] = top_ids[live, k - 1] != LAST
+    r, c = np.nonzero(top_ids != LAST)
     return list(zip(qid[r].tolist(), top_ids[r, c].tolist(), top[r, c].tolist(), strict=True))
 
 
