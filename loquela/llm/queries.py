@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquela.llm import simhash, topk
+from loquela.llm import packing, simhash, topk
+from loquela.llm._shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,18 @@ WITH e AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def _vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    items = written(packing.pieces(docs, _vocabulary("byte_bpe_50k.json")))
+    found = packing.pack(items)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
