@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquela.llm import packing, simhash, topk
-from loquela.llm._shared import written
+from loquela.llm import packing, simhash, tokenfile, topk
+from loquela.llm._shared import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = written(packing.pieces(docs, _vocabulary("byte_bpe_50k.json")))
     found = packing.pack(items)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query
+def op10_rangecoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = tokenfile.round_trip(docs, shared_dir(spark), _vocabulary("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
