@@ -1,11 +1,12 @@
 """Adaptive context-mixing range coder for token ids, in independent checksummed blocks.
 
 Each id is predicted by three orders: an order-2 and an order-1 table name the id that last
-followed this context, and an order-0 model counts ids as a path of four 4-bit digits. The
+followed this context, and an order-0 model counts ids as a path of 4-bit digits. The
 three are mixed by adaptive weights, chosen by how often either table has lately been right,
 and the mixture drives an arithmetic coder with a 48-bit interval and 16-bit output words.
 Every block starts from an empty model, so blocks decode alone; the coder steps through many
-blocks at once, one id of each block a step, with array operations.
+blocks at once, one id of each block a step, with array operations. The order-0 model counts
+groups of sixteen neighbouring ids, so the state of all lanes stays within a processor's cache.
 
 A file is the magic, a JSON header (length-prefixed, with a checksum), then the blocks, each
 preceded by its id count, payload bytes and the CRC-32 of its ids. The header lists the
@@ -27,7 +28,9 @@ BLOCK, LANES = 4096, 1024
 TOP, LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _ONE1, _ONE2 = 1 << 10, 1 << 12  # slots of the order-1 and order-2 tables
 STEP0, STEPW = 8, 12  # what one observation adds to a count
-_U16, _W16 = np.uint64(16), np.uint64(0xFFFF)
+_U4, _U16, _W16 = np.uint64(4), np.uint64(16), np.uint64(0xFFFF)
+#: How sure a table's slot is (0 to 3) after a miss, then after a hit.
+_NEXT = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.uint8)
 
 
 class _Model:
@@ -39,7 +42,7 @@ class _Model:
         self.c2, self.s2 = np.zeros(n * _ONE2, np.uint16), np.zeros(n * _ONE2, np.uint8)
         self.weights = np.ones((n * 16, 3), np.uint32)
         self.weights[:, 2] = 2
-        self.digits = [np.ones((n * 16**k, 16), np.uint16) for k in range(4)]
+        self.digits = [np.ones((n * 16**k, 16), np.uint16) for k in range(3)]
         self.lane = np.arange(n)
         self.base1, self.base2 = self.lane * _ONE1, self.lane * _ONE2
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -55,10 +58,8 @@ class _Model:
     def learn(self, m: int, x: np.ndarray, i1, i2, c1, c2, row, branch) -> None:
         self.weights[row, branch] += STEPW
         for c, s, i, seen in ((self.c1, self.s1, i1, c1), (self.c2, self.s2, i2, c2)):
-            state = s[i]
-            hit = (seen == x) & (state > 0)
-            new = np.where(hit, np.minimum(state + 1, 3), np.where(state > 1, state - 1, 1)).astype(np.uint8)
-            s[i] = new
+            state, hit = s[i], seen == x
+            s[i] = _NEXT[hit * 4 + state]
             c[i] = np.where(hit | (state > 1), seen, x)
         self.p2[:m] = self.p1[:m]
         self.p1[:m] = x
@@ -66,37 +67,39 @@ class _Model:
 
 def _columns(weights: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cumulative weights of (order 2, order 1, order 0); a table that knows nothing has none."""
-    w = weights.copy()
-    w[s2 == 0, 0] = 0
-    w[s1 == 0, 1] = 0
-    c = np.cumsum(w, axis=1)
-    return w, c
+    w = weights.astype(np.uint64)
+    w[:, 0] *= s2 > 0
+    w[:, 1] *= s1 > 0
+    return w, np.cumsum(w, axis=1)
 
 
 class _Encoder:
     def __init__(self, n: int, longest: int):
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, TOP, np.uint64)
         self.out, self.at = np.zeros((n, 3 * longest + 8), np.uint32), np.zeros(n, np.int64)
+        self.every = np.arange(n)
 
     def put(self, lanes, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[lanes] // total.astype(np.uint64)
-        low, size = self.low[lanes] + r * start.astype(np.uint64), r * size.astype(np.uint64)
-        over = low >= TOP
-        if over.any():
-            who = lanes[over]
+        r = self.range[lanes] // total
+        low, size = self.low[lanes] + r * start, r * size
+        over = np.flatnonzero(low >= TOP)
+        if len(over):
+            who = self.every[lanes][over]
             self.out[who, self.at[who] - 1] += 1
             low[over] -= TOP
-        few = size < LOW
-        if few.any():
-            who = lanes[few]
-            self.out[who, self.at[who]] = (low[few] >> np.uint64(32)).astype(np.uint32)
-            self.at[who] += 1
+        few = np.flatnonzero(size < LOW)
+        while len(few):
+            who = self.every[lanes][few]
+            at = self.at[who]
+            self.out[who, at] = low[few] >> np.uint64(32)
+            self.at[who] = at + 1
             low[few] = (low[few] & np.uint64(0xFFFFFFFF)) << _U16
             size[few] <<= _U16
+            few = few[size[few] < LOW]
         self.low[lanes], self.range[lanes] = low, size
 
     def done(self) -> list[bytes]:
-        every = np.arange(len(self.low))
+        every = self.every
         for shift in (32, 16, 0):
             self.out[every, self.at] = (self.low >> np.uint64(shift) & _W16).astype(np.uint32)
             self.at += 1
@@ -113,20 +116,23 @@ class _Decoder:
         for row, w in zip(self.words, words, strict=True):
             row[: len(w)] = w
         self.range, self.at = np.full(len(words), TOP, np.uint64), np.full(len(words), 3)
+        self.every = np.arange(len(words))
         self.code = self.words[:, 0] << np.uint64(32) | self.words[:, 1] << _U16 | self.words[:, 2]
 
     def look(self, lanes, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = self.range[lanes] // total.astype(np.uint64)
-        return r, np.minimum(self.code[lanes] // r, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
+        r = self.range[lanes] // total
+        return r, np.minimum(self.code[lanes] // r, total - np.uint64(1))
 
     def take(self, lanes, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        code, size = self.code[lanes] - r * start.astype(np.uint64), r * size.astype(np.uint64)
-        few = size < LOW
-        if few.any():
-            who = lanes[few]
-            code[few] = code[few] << _U16 | self.words[who, self.at[who]]
-            self.at[who] += 1
+        code, size = self.code[lanes] - r * start, r * size
+        few = np.flatnonzero(size < LOW)
+        while len(few):
+            who = self.every[lanes][few]
+            at = self.at[who]
+            code[few] = code[few] << _U16 | self.words[who, at]
+            self.at[who] = at + 1
             size[few] <<= _U16
+            few = few[size[few] < LOW]
         self.code[lanes], self.range[lanes] = code, size
 
 
@@ -146,18 +152,20 @@ def encode_blocks(ids: np.ndarray, sizes: list[int]) -> list[bytes]:
         s1, s2 = model.s1[i1], model.s2[i2]
         branch = np.where((c2 == x) & (s2 > 0), 0, np.where((c1 == x) & (s1 > 0), 1, 2))
         w, c = _columns(model.weights[row], s1, s2)
-        start = c[lanes, branch] - w[lanes, branch]
-        coder.put(lanes, start, w[lanes, branch], c[:, 2])
+        size = w[lanes, branch]
+        coder.put(slice(0, m), c[lanes, branch] - size, size, c[:, 2])
         out = np.flatnonzero(branch == 2)
         if len(out):
-            path, value = lanes[out], x[out]
+            path, value, each = out, x[out], every[: len(out)]
             for k, table in enumerate(model.digits):
                 digit = value >> (12 - 4 * k) & 15
                 counts = table[path]
-                c = np.cumsum(counts, axis=1, dtype=np.uint32)
-                each = np.arange(len(out))
-                size = counts[each, digit]
-                coder.put(lanes[out], c[each, digit] - size, size, c[:, 15])
+                c = np.cumsum(counts, axis=1, dtype=np.uint64)
+                size = counts[each, digit].astype(np.uint64)
+                start, total = c[each, digit] - size, c[:, 15]
+                if k == 2:  # sixteen neighbours share their group's interval evenly
+                    start, total = (start << _U4) + (value & 15).astype(np.uint64) * size, total << _U4
+                coder.put(out, start, size, total)
                 table[path, digit] += STEP0
                 path = path * 16 + digit
         model.learn(m, x, i1, i2, c1, c2, row, branch)
@@ -172,27 +180,34 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> np.ndarray:
     model, coder, every = _Model(n), _Decoder(payloads), np.arange(n)
     for t in range(longest):
         m = int(live[t])
-        lanes = every[:m]
+        lanes, part = every[:m], slice(0, m)
         i1, i2, c1, c2, row = model.predict(m)
         w, c = _columns(model.weights[row], model.s1[i1], model.s2[i2])
-        r, v = coder.look(lanes, c[:, 2])
+        r, v = coder.look(part, c[:, 2])
         branch = (v >= c[:, 0]).astype(np.int64) + (v >= c[:, 1])
-        coder.take(lanes, r, c[lanes, branch] - w[lanes, branch], w[lanes, branch])
+        size = w[lanes, branch]
+        coder.take(part, r, c[lanes, branch] - size, size)
         x = np.where(branch == 0, c2, c1).astype(np.int64)
         out = np.flatnonzero(branch == 2)
         if len(out):
-            path, value = lanes[out], np.zeros(len(out), np.int64)
-            for table in model.digits:
+            path, value, each = out, np.zeros(len(out), np.int64), every[: len(out)]
+            for k, table in enumerate(model.digits):
                 counts = table[path]
-                c = np.cumsum(counts, axis=1, dtype=np.uint32)
-                r, v = coder.look(lanes[out], c[:, 15])
-                digit = (v[:, None] >= c).sum(axis=1)
-                each = np.arange(len(out))
-                size = counts[each, digit]
-                coder.take(lanes[out], r, c[each, digit] - size, size)
+                c = np.cumsum(counts, axis=1, dtype=np.uint64)
+                total = c[:, 15] << _U4 if k == 2 else c[:, 15]
+                r, v = coder.look(out, total)
+                digit = ((v >> _U4 if k == 2 else v)[:, None] >= c).sum(axis=1)
+                size = counts[each, digit].astype(np.uint64)
+                start = c[each, digit] - size
+                value = value << 4 | digit
+                if k == 2:
+                    start <<= _U4
+                    within = (v - start) // size
+                    start += within * size
+                    value = value << 4 | within.astype(np.int64)
+                coder.take(out, r, start, size)
                 table[path, digit] += STEP0
                 path = path * 16 + digit
-                value = value << 4 | digit
             x[out] = value
         grid[:m, t] = x
         model.learn(m, x, i1, i2, c1, c2, row, branch)
