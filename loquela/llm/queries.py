@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquela.llm import packing, simhash, tokenfile, topk
+from loquela.llm import packing, simhash, tokenfile, topk, warc
 from loquela.llm._shared import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,31 @@ def op10_rangecoder(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = tokenfile.round_trip(docs, shared_dir(spark), _vocabulary("word_bpe_49k.json"))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@_query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(_table(spark, sf_dir, "pages"), shared_dir(spark))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op6_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS b FROM pages
+), bits AS (
+  SELECT html, any_value(b) AS b, max(page_id) AS first_id FROM p GROUP BY html
+), hexed AS (
+  SELECT html, octet_length(b) AS n, first_id,
+    list_aggregate(list_transform(range(0, 20), lambda i:
+      lpad(bin(CAST('0x' || substr(sha1(b), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER)), 8, '0')), 'string_agg', '') AS s
+  FROM bits
+), coded AS (
+  SELECT html, n, first_id, list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(0, 5), lambda j:
+      CAST(substr(s, CAST(5 * i + j + 1 AS INTEGER), 1) AS INTEGER) * CAST(pow(2, 4 - j) AS INTEGER))) AS INTEGER), 1)), 'string_agg', '') AS d
+  FROM hexed
+)
+SELECT p.page_id, CAST(c.n AS BIGINT) AS payload_bytes, c.d AS payload_digest,
+  CASE WHEN p.page_id = c.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id = c.first_id THEN NULL ELSE c.first_id END AS refers_to
+FROM p JOIN coded c ON p.html = c.html"""
