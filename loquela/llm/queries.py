@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquela.llm import packing, simhash, tokenfile, topk, warc
+from loquela.llm import htmltext, packing, simhash, tokenfile, topk, warc
 from loquela.llm._shared import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ SELECT p.page_id, CAST(c.n AS BIGINT) AS payload_bytes, c.d AS payload_digest,
   CASE WHEN p.page_id = c.first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN p.page_id = c.first_id THEN NULL ELSE c.first_id END AS refers_to
 FROM p JOIN coded c ON p.html = c.html"""
+
+
+@_query
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
