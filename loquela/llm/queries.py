@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquela.llm import htmltext, packing, simhash, tokenfile, topk, warc
+from loquela.llm import htmltext, packing, pii, simhash, tokenfile, topk, warc
 from loquela.llm._shared import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,13 @@ FROM p JOIN coded c ON p.html = c.html"""
 @_query
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
+#: The pseudonyms' key of the registered queries; a real run passes its own secret.
+PII_KEY = b"not a secret: registered queries only"
+
+
+@_query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return found.withColumn("n_found", F.size("pii_spans"))
