@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquela.llm import htmltext, packing, pii, simhash, tokenfile, topk, warc
+from loquela.llm import htmltext, langid, packing, pii, simhash, tokenfile, topk, warc
 from loquela.llm._shared import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,9 @@ PII_KEY = b"not a secret: registered queries only"
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return found.withColumn("n_found", F.size("pii_spans"))
+
+
+@_query
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify_documents(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "declared", "kept")
