@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquela.llm import htmltext, langid, packing, pii, simhash, tokenfile, topk, warc
+from loquela.llm import decontam, htmltext, langid, packing, pii, simhash, tokenfile, topk, warc
 from loquela.llm._shared import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify_documents(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "declared", "kept")
+
+
+@_query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
