@@ -8,8 +8,9 @@ one of its keys with the target recall. Windows have the size of the items (long
 into even parts: one part at least is within the allowed rate). Pairs that share a key are
 verified by exact edit distance between the item and the best-matching stretch of the text.
 
-Before the walk, windows are passed over that can't be near any item: at most a fifth of a
-window's words may be missing from the items, which a bitmap of fixed size tells without loss.
+Before the walk, windows are passed over that can't be near any item. An edit spoils at most
+two of a window's word pairs, so the others must be pairs of items, which a bitmap of fixed
+size tells without loss.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ RATE, LEAST = 0.2, 5
 REPEATS, SAMPLES = 24, 3
 #: Longest window in words, and windows embedded at once.
 LONGEST, BLOCK = 64, 1 << 15
-#: Bits of the bitmaps of item words and item keys that tasks receive: 512 KB each, always.
+#: Bits of the bitmaps of item word pairs and item keys that tasks receive: 512 KB each, always.
 BITS = 22
 _WORD = re.compile(r"\w+")
 _GAP = LONGEST // 4  # more missing words than any window may have
@@ -109,6 +110,12 @@ def _in_bitmap(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words, in order."""
+    x = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[1:]
+    return x * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _item_keys(items: DataFrame) -> DataFrame:
     """(item_id, size, key, words) rows: keys of every part of every long enough item."""
 
@@ -127,13 +134,13 @@ def _item_keys(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item_id long, size int, at int, n_words int, key long")
 
 
-def _word_cells(items: DataFrame) -> DataFrame:
+def _pair_cells(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 found = words(text)
                 if len(found) >= LEAST:
-                    cells = np.unique(_hashes(found) >> np.uint64(64 - BITS)).astype(np.int32)
+                    cells = np.unique(_pairs(_hashes(found)) >> np.uint64(64 - BITS)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(cells)], ["cell"])
 
     return items.select("text").mapInArrow(run, "cell int").distinct()
@@ -153,18 +160,19 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     keys = written(_item_keys(items))
     # Both collections are cells of a bitmap: their number has a fixed bound.
     key_cell = F.shiftrightunsigned("key", 64 - BITS).cast("int")
-    cells = [np.array(df.toArrow().column(0).to_numpy(), np.uint64) << np.uint64(64 - BITS) for df in (_word_cells(items), keys.select(key_cell).distinct())]
+    cells = [np.array(df.toArrow().column(0).to_numpy(), np.uint64) << np.uint64(64 - BITS) for df in (_pair_cells(items), keys.select(key_cell).distinct())]
     sizes = sorted(r[0] for r in keys.select("size").distinct().collect())  # LONGEST at most
     longest = keys.agg(F.max("n_words")).first()[0] or 0
     shared = spark.sparkContext.broadcast([_bitmap(c) for c in cells])
 
     def near(hashes: np.ndarray, known: np.ndarray, key_bits: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """(starts, size, keys) of windows with a key among the items' cells."""
+        """(starts, size, keys) of windows with a key among the items' cells; known: which word pairs are items'."""
         total = np.concatenate([[0], np.cumsum(known)])
         for size in sizes:
             if len(hashes) < size:
                 continue
-            starts = np.flatnonzero(total[size:] - total[:-size] >= size - allowed(size))
+            pairs = size - 1
+            starts = np.flatnonzero(total[pairs:] - total[:-pairs] >= max(1, pairs - 2 * allowed(size)))
             starts = starts[hashes[starts] != 0]
             for i in range(0, len(starts), BLOCK):
                 some = starts[i : i + BLOCK]
@@ -175,7 +183,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                     yield some[who], size, np.where(hit, found, 0)[who]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_bits, key_bits = shared.value
+        pair_bits, key_bits = shared.value
         for batch in in_slices(batches, "text"):
             texts = [words(t) for t in batch.column("text").to_pylist()]
             sizes_of = np.array([len(t) for t in texts], np.int64)
@@ -183,7 +191,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             first = np.cumsum(sizes_of + _GAP) - sizes_of - _GAP  # each text's place, a gap behind it
             hashes = np.zeros(int((sizes_of + _GAP).sum()), np.uint64)
             hashes[np.repeat(first - (np.cumsum(sizes_of) - sizes_of), sizes_of) + np.arange(len(flat))] = flat
-            known = (hashes != 0) & _in_bitmap(word_bits, hashes)
+            known = (hashes[:-1] != 0) & (hashes[1:] != 0) & _in_bitmap(pair_bits, _pairs(hashes))
             ids = batch.column("doc_id").to_pylist()
             rows = []
             for starts, size, found in near(hashes, known, key_bits):
