@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquela.llm import decontam, htmltext, langid, packing, pii, simhash, tokenfile, topk, warc
+from loquela.llm import decontam, htmltext, langid, packing, pii, simhash, suffix, tokenfile, topk, warc
 from loquela.llm._shared import shared_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeated_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
