@@ -36,7 +36,7 @@ def greedy_packs(df: DataFrame, keys: list[str], order: list[str], cost: str, li
             out = []
             for k, c, s, j in zip(own, costs, starts, joined, strict=True):
                 if k != key:
-                    key, pack, fresh = k, 0, True
+                    key, pack, fresh = k, -1, True
                 elif mode == "span":
                     fresh = not j or c - first > limit
                 elif mode == "text":
