@@ -50,7 +50,7 @@ def read_results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     """
     if not exists(spark, folder):
         return spark.createDataFrame([], f"file string, {schema.RESULT}"), spark.createDataFrame([], "file string")
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     checked = raw.select(F.col("_metadata.file_name").alias("file"), strict_object("value").alias("json"))
     good = checked.filter("json IS NOT NULL").select("file", F.from_json("json", schema.RESULT).alias("r")).select("file", "r.*")
     return good, checked.filter("json IS NULL").select("file")
