@@ -9,8 +9,8 @@ into even parts: one part at least is within the allowed rate). Pairs that share
 verified by exact edit distance between the item and the best-matching stretch of the text.
 
 Before the walk, windows are passed over that can't be near any item. An edit spoils at most
-two of a window's word pairs, so the others must be pairs of items, which a bitmap of fixed
-size tells without loss.
+two of a window's word pairs, so the others must be pairs of items of that size, which a table
+of fixed size tells without loss.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ RATE, LEAST = 0.2, 5
 REPEATS, SAMPLES = 24, 3
 #: Longest window in words, and windows embedded at once.
 LONGEST, BLOCK = 64, 1 << 15
-#: Bits of the bitmaps of item word pairs and item keys that tasks receive: 512 KB each, always.
-BITS = 22
+#: Tasks receive two tables of fixed size: the item sizes that each of 2^20 cells of word pairs
+#: occurs in, as bits (8 MB), and a bitmap of 2^22 cells of item keys (512 KB).
+PAIR_BITS, BITS = 20, 22
 _WORD = re.compile(r"\w+")
 _GAP = LONGEST // 4  # more missing words than any window may have
 
@@ -135,15 +136,19 @@ def _item_keys(items: DataFrame) -> DataFrame:
 
 
 def _pair_cells(items: DataFrame) -> DataFrame:
+    """(cell, size): which cells of word pairs occur in parts of which size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = words(text)
-                if len(found) >= LEAST:
-                    cells = np.unique(_pairs(_hashes(found)) >> np.uint64(64 - BITS)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(cells)], ["cell"])
+                h = _hashes(words(text))
+                if len(h) < LEAST:
+                    continue
+                for at, size in parts(len(h)):
+                    cells = np.unique(_pairs(h[at : at + size]) >> np.uint64(64 - PAIR_BITS)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(len(cells), size, np.int32))], ["cell", "size"])
 
-    return items.select("text").mapInArrow(run, "cell int").distinct()
+    return items.select("text").mapInArrow(run, "cell int, size int").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -158,20 +163,22 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     keys = written(_item_keys(items))
-    # Both collections are cells of a bitmap: their number has a fixed bound.
-    key_cell = F.shiftrightunsigned("key", 64 - BITS).cast("int")
-    cells = [np.array(df.toArrow().column(0).to_numpy(), np.uint64) << np.uint64(64 - BITS) for df in (_pair_cells(items), keys.select(key_cell).distinct())]
+    # What is collected are cells of the two tables: their number has a fixed bound.
+    key_cells = keys.select(F.shiftrightunsigned("key", 64 - BITS).cast("int")).distinct().toArrow().column(0).to_numpy()
     sizes = sorted(r[0] for r in keys.select("size").distinct().collect())  # LONGEST at most
     longest = keys.agg(F.max("n_words")).first()[0] or 0
-    shared = spark.sparkContext.broadcast([_bitmap(c) for c in cells])
+    sizes_of_pair = np.zeros(1 << PAIR_BITS, np.uint64)
+    pair_cells = _pair_cells(items).toArrow()
+    np.bitwise_or.at(sizes_of_pair, pair_cells.column("cell").to_numpy(), np.uint64(1) << (pair_cells.column("size").to_numpy() - 1).astype(np.uint64))
+    shared = spark.sparkContext.broadcast((sizes_of_pair, _bitmap(key_cells.astype(np.uint64) << np.uint64(64 - BITS))))
 
     def near(hashes: np.ndarray, known: np.ndarray, key_bits: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """(starts, size, keys) of windows with a key among the items' cells; known: which word pairs are items'."""
-        total = np.concatenate([[0], np.cumsum(known)])
+        """(starts, size, keys) of windows with a key among the items' cells; known: each word pair's item sizes."""
         for size in sizes:
             if len(hashes) < size:
                 continue
             pairs = size - 1
+            total = np.concatenate([[0], np.cumsum(known >> np.uint64(pairs) & np.uint64(1), dtype=np.int32)])
             starts = np.flatnonzero(total[pairs:] - total[:-pairs] >= max(1, pairs - 2 * allowed(size)))
             starts = starts[hashes[starts] != 0]
             for i in range(0, len(starts), BLOCK):
@@ -183,7 +190,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                     yield some[who], size, np.where(hit, found, 0)[who]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair_bits, key_bits = shared.value
+        sizes_of_pair, key_bits = shared.value
         for batch in in_slices(batches, "text"):
             texts = [words(t) for t in batch.column("text").to_pylist()]
             sizes_of = np.array([len(t) for t in texts], np.int64)
@@ -191,7 +198,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             first = np.cumsum(sizes_of + _GAP) - sizes_of - _GAP  # each text's place, a gap behind it
             hashes = np.zeros(int((sizes_of + _GAP).sum()), np.uint64)
             hashes[np.repeat(first - (np.cumsum(sizes_of) - sizes_of), sizes_of) + np.arange(len(flat))] = flat
-            known = (hashes[:-1] != 0) & (hashes[1:] != 0) & _in_bitmap(pair_bits, _pairs(hashes))
+            known = sizes_of_pair[(_pairs(hashes) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)]
+            known[(hashes[:-1] == 0) | (hashes[1:] == 0)] = 0
             ids = batch.column("doc_id").to_pylist()
             rows = []
             for starts, size, found in near(hashes, known, key_bits):
@@ -199,7 +207,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 for s, o, k in zip(starts.tolist(), owners.tolist(), found.view(np.int64), strict=True):
                     at = s - int(first[o])
                     low = max(0, at - longest - allowed(longest))
-                    text = texts[o][low : at + size + longest + allowed(longest)]
+                    text = texts[o][low : at + size + 2 * longest + allowed(longest)]
                     rows.append((ids[o], at, low, k[k != 0].tolist(), " ".join(text)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
@@ -207,9 +215,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     windows = written(texts.mapInArrow(run, "doc_id long, at long, low long, keys array<long>, context string"))
-    # Windows of one text that overlap share most of their context, so pairs are thinned first.
+    # A passage shows in several windows: those within an item's length are verified as one stretch.
     hits = windows.select("doc_id", "at", F.explode("keys").alias("key")).join(keys.select("key", "item_id", F.col("at").alias("part"), "n_words"), "key")
-    pairs = hits.select("doc_id", "at", "item_id", "part", "n_words").distinct()
+    begin = F.col("at") - F.col("part")
+    pairs = hits.groupBy("doc_id", "item_id", "n_words", F.floor(begin / F.col("n_words")).alias("place")).agg(F.min(begin).alias("first"), F.max(begin).alias("last"), F.min("at").alias("at"))
     pairs = pairs.join(windows.select("doc_id", "at", "low", "context").dropDuplicates(["doc_id", "at"]), ["doc_id", "at"]).join(items.dropDuplicates(["item_id"]), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +227,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             rows = []
             if len(known) > 10_000:
                 known.clear()
-            for doc_id, at, low, part, n, item_id, context, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "at", "low", "part", "n_words", "item_id", "context", "text")], strict=True):
-                begin = max(0, at - part - allowed(n) - low)
-                stretch = context.split(" ")[begin : at - low - part + n + 2 * allowed(n)]
+            for doc_id, low, first, last, n, item_id, context, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "low", "first", "last", "n_words", "item_id", "context", "text")], strict=True):
+                begin = max(0, first - 2 * allowed(n) - low)
+                stretch = context.split(" ")[begin : max(0, last - low) + n + 2 * allowed(n)]
                 key = item_id, " ".join(stretch)
                 if key not in known:
                     known[key] = edit_distance(words(text), stretch)
