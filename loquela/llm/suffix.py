@@ -147,14 +147,14 @@ def suffix_array(x: np.ndarray, letters: int = 256) -> np.ndarray:
 def common_prefixes(x: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """Permuted common prefixes: at each position, how many letters its suffix shares with the one before it in order.
 
-    Where the predecessor moves on with the position, the value is one less than before; only
-    the other positions are compared.
+    Where the letter before a position is also the one before its predecessor, the value is one
+    less than at the position before; only the other positions are compared.
     """
     n = len(x)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     fresh = np.ones(n, bool)
-    fresh[1:] = (phi[1:] != phi[:-1] + 1) | (phi[:-1] < 0)
+    fresh[1:] = (phi[1:] < 1) | (x[:-1] != x[np.maximum(phi[1:], 1) - 1])
     i = np.flatnonzero(fresh & (phi >= 0))
     j, size = phi[i], np.zeros(len(i), np.int64)
     padded = np.concatenate([x, np.zeros(8, x.dtype)])
