@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, level: int = 3
         for batch in in_slices(batches, "payload"):
             columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "first_id")]
             for page_id, url, payload, sha1, first in zip(*columns, strict=True):
-                kind = "revisit" if first is not None and page_id != first else "response"
+                kind = "revisit" if None not in (first, page_id) and page_id != first else "response"
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 record = _record(kind, page_id, _clean_url(url), payload, digest, first if kind == "revisit" else None)
                 count += 1
