@@ -129,8 +129,17 @@ def _ip(p: Permuter, text: str, back: bool) -> str | None:
     parts = text.split(".")
     if any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in parts):
         return None
-    x = p.permute("ip", 1 << 32, int.from_bytes(bytes(map(int, parts)), "big"), back)
-    return ".".join(map(str, x.to_bytes(4, "big")))
+    bases = [(0, 10), (10, 90), (100, 156)]  # numbers of one, two and three digits
+    shape, n, x = "", 1, 0
+    for part in parts:
+        first, count = bases[len(part) - 1]
+        shape, n, x = shape + str(len(part)), n * count, x * count + int(part) - first
+    x, out = p.permute(f"ip{shape}", n, x, back), []
+    for part in reversed(parts):
+        first, count = bases[len(part) - 1]
+        x, r = divmod(x, count)
+        out.append(str(first + r))
+    return ".".join(reversed(out))
 
 
 def _moved(p: Permuter, day: date, back: bool) -> date | None:
