@@ -129,7 +129,7 @@ class _Decoder:
         while len(few):
             who = self.every[lanes][few]
             at = self.at[who]
-            code[few] = code[few] << _U16 | self.words[who, at]
+            code[few] = code[few] << _U16 | self.words[who, np.minimum(at, self.words.shape[1] - 1)]  # damaged data may ask for more
             self.at[who] = at + 1
             size[few] <<= _U16
             few = few[size[few] < LOW]
