@@ -1,0 +1,313 @@
+"""SimHash, packing, language ID, decontamination, pseudonyms: brute force and edge cases."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from loquela.llm import components, decontam, langid, packing, pii, simhash
+from loquela.llm.queries import _vocabulary
+
+
+def plain_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fps):
+    ids = sorted(fps)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 3:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_fingerprint_matches_definition():
+    rng = random.Random(1)
+    texts = ["", None, "  \t\n", "one", "Two words", "a b c", "A\x0bB\x0cC d", "ÉTÉ été x y", " ".join(str(rng.random()) for _ in range(1500))]
+    assert [simhash.fingerprint(t) for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+def test_near_duplicates_brute_force(spark, docs_of):
+    rng = random.Random(2)
+    texts = ["", None, "", "same text here", "same text here"]
+    for _ in range(25):
+        words = [f"w{rng.randint(0, 50)}" for _ in range(rng.randint(1, 150))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words = list(words)
+            words[rng.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    docs = docs_of([*enumerate(texts), (None, "same text here"), (3, "same text here")])
+    found = simhash.near_duplicates(docs).collect()
+    want = plain_components({i: plain_fingerprint(t) for i, t in enumerate(texts)})
+    assert len(found) == len(texts) + 2
+    assert all(r["component_id"] == (None if r["doc_id"] is None else want[r["doc_id"]]) for r in found)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20, unique=True), st.integers(0, 2**32))
+@settings(max_examples=60, deadline=None)
+def test_forests_connect_all_links(base, seed):
+    rng = random.Random(seed)
+    fps = list(dict.fromkeys(base + [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in base]))
+    edges = simhash._forest(np.array(fps, np.uint64), 3)
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        assert (fps[i] ^ fps[j]).bit_count() <= 3
+        root[find(i)] = find(j)
+    assert all(find(i) == find(j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3)
+
+
+def test_probing_links_three_bytes():
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 12, 300).astype(np.uint64))
+    got = {tuple(sorted(e)) for e in simhash._forest_by_probes(fps, 3)}
+    assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3}
+
+
+def test_long_lists_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST_LIMIT", 5)
+    rng = random.Random(4)
+    fps = {i: 0xABCD << 40 | rng.getrandbits(14) for i in range(120)}
+    fps = {min(i for i in fps if fps[i] == f): f for f in set(fps.values())}
+    reps = spark.createDataFrame([(f, i) for i, f in fps.items()], "fp long, rep long")
+    roots = {r["node"]: r["root"] for r in components.components(simhash.links(reps)).collect()}
+    want = plain_components(fps)
+    assert all(roots.get(i, i) == want[i] for i in fps)
+
+
+def test_components_of_paths(spark):
+    path = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(path, "a long, b long").repartition(5)).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {101: 100}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_documents(spark, docs_of):
+    rng = random.Random(5)
+    texts, owner = [], []
+    for k in range(30):
+        words = [f"v{rng.randint(0, 3000)}" for _ in range(300)]
+        for n in (0, 2, 3):
+            w = list(words)
+            for _ in range(n):
+                w[rng.randrange(300)] = f"new{rng.random()}"
+            texts.append(" ".join(w))
+            owner.append(3 * k)
+    half = texts[0].split()[:150] + [f"q{i}" for i in range(150)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of([*texts, " ".join(half), "", None])).collect()}
+    assert [found[i] for i in range(90)] == owner
+    assert found[90] == 90 and found[91] == found[92] == 91
+    kept = simhash.keep_one(docs_of(texts), simhash.similar_documents(docs_of(texts)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(owner)) and kept.columns == docs_of(texts).columns
+
+
+def test_cut():
+    assert packing.cut(2048, 2048) == [(0, 2048)]
+    assert packing.cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
+    assert packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
+
+
+@given(st.lists(st.integers(1, 50), max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_best_fit_is_best_fit(sizes):
+    bins, offsets = packing.best_fit(np.array(sizes, np.int64), 50)
+    fill = {}
+    for n, b, o in zip(sizes, bins.tolist(), offsets.tolist(), strict=True):
+        assert fill.get(b, 0) == o and o + n <= 50
+        room = [50 - f for f in fill.values() if 50 - f >= n]
+        assert (50 - fill[b] == min(room)) if room else b not in fill
+        fill[b] = o + n
+
+
+def test_packing(spark, docs_of):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    path = _vocabulary("byte_bpe_50k.json")
+    texts = [None, "", "a  b \n \n c", "<|endoftext|> x<|endoftext|>", "Été's 12.5   z", " ".join(f"word{rng.randint(0, 99)}" for _ in range(6000))]
+    texts += [" ".join("abc" for _ in range(rng.randint(1, 300))) for _ in range(60)]
+    docs = docs_of([*enumerate(texts), (7, texts[7])])
+    rows = packing.pieces(docs, path, with_ids=True)
+    tokenizer = Tokenizer.from_file(path)
+    whole = {}
+    for r in rows.orderBy("doc_id", "piece").collect():
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+        whole.setdefault((r["doc_id"], r["start"]), r["ids"])
+    for i, t in enumerate(texts):
+        ids = np.frombuffer(b"".join(bytes(x) for (d, _), x in sorted(whole.items()) if d == i), "<u4").tolist()
+        assert ids == [*(tokenizer.encode(t, add_special_tokens=False).ids if t else []), 0]
+    for group, fan in ((1000, 8), (7, 2)):
+        packed = packing.pack(rows.drop("ids"), group=group, fan=fan).collect()
+        assert len(packed) == rows.count()
+        by = {}
+        for r in packed:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in by.values():
+            at = 0
+            for offset, n in sorted(parts):
+                assert offset == at
+                at += n
+            assert at <= 2048
+        least = -(-sum(r["length"] for r in packed) // 2048)
+        assert len(by) <= least + 3
+    assert packing.pack(rows.drop("ids").limit(0)).count() == 0
+
+
+def test_language_identification(spark):
+    rng = random.Random(7)
+    stems = {"en": ["the", "thing", "with", "and"], "de": ["und", "sch", "keit", "über"], "fr": ["eau", "été", "les", "que"]}
+    make = lambda lang, n: " ".join("".join(rng.choice(stems[lang]) for _ in range(2)) for _ in range(n))
+    rows = [(i, make(lang := "en de fr".split()[i % 3], 40), lang if i % 5 else None, f"host{i % 3}") for i in range(150)]
+    rows += [(200, make("de", 60), "fr", "host0"), (201, "", "en", "host0"), (202, None, None, None), (203, "12 34 !!", "en", "h"), (204, make("en", 1), "en", "host0"), (None, make("en", 9), "en", "host0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in langid.identify_documents(docs).collect()}
+    assert all(found[i]["language"] == "en de fr".split()[i % 3] and found[i]["kept"] for i in range(150))
+    assert found[200]["language"] == "de" and found[204]["language"] == "en" and found[None]["kept"]
+    assert all(not found[i]["kept"] and found[i]["language"] is None and found[i]["confidence"] == 0 for i in (201, 202, 203))
+    kept = langid.keep_identified(docs, langid.identify_documents(docs))
+    assert kept.columns == docs.columns and kept.count() == 153
+    assert langid.identify_documents(docs.limit(0)).count() == 0
+    assert not any(r["kept"] for r in langid.identify_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect())
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hidden = docs.withColumns({"told": F.when(F.pmod(F.hash("doc_id"), F.lit(2)) == 0, F.col("lang")), "lang": F.col("lang")})
+    found = langid.identify(hidden, F.col("doc_id"), F.col("text"), F.col("told"), F.lit(None), F.lit(None))
+    scored = found.join(docs.select("doc_id", "lang"), "doc_id").filter("declared IS NULL")
+    right, n = scored.agg(F.count_if(F.col("language") == F.col("lang")), F.count("*")).first()
+    assert n > 300 and right / n > 0.98
+
+
+def plain_distance(item, text):
+    """Least word edits between item and any stretch of text."""
+    row = [0] * (len(text) + 1)
+    for i, w in enumerate(item):
+        new = [i + 1]
+        for j, v in enumerate(text):
+            new.append(min(row[j] + (w != v), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_brute_force(spark, docs_of):
+    rng = random.Random(8)
+    word = lambda: f"b{rng.randint(0, 400)}"
+    items = [[word() for _ in range(rng.choice([6, 15, 30, 57, 150]))] for _ in range(12)]
+    texts = []
+    for k in range(60):
+        item = list(items[k % 12])
+        for _ in range(rng.randint(0, max(1, len(item) // 12))):
+            p = rng.randrange(len(item))
+            rng.choice([lambda p=p: item.pop(p), lambda p=p: item.insert(p, "extra"), lambda p=p: item.__setitem__(p, "other")])()
+        sentence = ", ".join(item).upper() if k % 2 else " ".join(item)
+        texts.append(" ".join(word() for _ in range(rng.choice([0, 40, 400]))) + " " + sentence + " " + " ".join(word() for _ in range(rng.choice([0, 30]))))
+    texts += [" ".join(word() for _ in range(300)) for _ in range(20)] + ["", None, "short"]
+    docs = docs_of([*enumerate(texts), (0, texts[0]), (None, texts[0])])
+    bench = spark.createDataFrame([*[(i, " ".join(w)) for i, w in enumerate(items)], (50, "too short"), (51, None), (None, "x")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.contaminated(docs, bench).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, w in enumerate(items):
+            if (k := plain_distance(w, decontam.words(t))) <= len(w) // 5:
+                want[d, i] = k
+    assert len(want) >= 60 and found == want
+    clean = decontam.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {None, *range(len(texts))} - {d for d, _ in want}
+    assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_recall_at_full_rate():
+    rng = random.Random(9)
+    hit = 0
+    for _ in range(150):
+        item = [f"r{rng.randint(0, 900)}" for _ in range(rng.randint(15, 60))]
+        text = list(item)
+        for _ in range(len(item) // 5):
+            p = rng.randrange(len(text))
+            text[p : p + rng.choice([0, 1])] = rng.choice([[], ["edit"]])
+        text += ["tail"] * 20
+        a = decontam.cgk_keys(decontam._hashes(item)[None])[0]
+        b = decontam.cgk_keys(np.array([decontam._hashes(text[s : s + len(item)]) for s in range(3)]))
+        hit += bool((a == b).any())
+    assert hit >= 0.9 * 150
+
+
+@given(st.integers(0, 10**9), st.integers(2, 10**6), st.binary(max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_permutation_inverts(x, n, key):
+    p = pii.Permuter(key)
+    y = p.permute("k", n, x % n)
+    assert 0 <= y < n and p.permute("k", n, y, back=True) == x % n
+
+
+def test_permutation_is_one_to_one():
+    p = pii.Permuter(b"k")
+    assert sorted(p.permute("k", 777, x) for x in range(777)) == list(range(777))
+
+
+def test_pseudonyms_keep_formats():
+    p = pii.Permuter(b"k")
+    text = "4111 1111 1111 1111 and 4111111111111111, born 24.12.1999 or 1999-12-24, 12/31/2001; GB82 WEST 1234 5698 7654 32, +1 (017) 555-7713, 10.0.0.1, a.b7@mail.example.org, 123-45-6789"
+    new, spans = pii.pseudonymise(text, p)
+    assert len(new) == len(text) and pii.pseudonymise(new, p, back=True)[0] == text
+    assert Counter(k for _, _, k in spans) == {"card": 2, "dmy": 2, "iso": 1, "iban": 1, "phone": 1, "ip": 1, "email": 1, "ssn": 1}
+    cards = new.split(" and ")
+    assert cards[0].replace(" ", "") == cards[1][:16] and cards[0] != text[:19]
+    day = new.split("born ")[1][:10].split(".")
+    assert new.split(" or ")[1][:10] == "-".join(reversed(day))
+
+
+def test_pseudonyms_leave_the_rest():
+    p = pii.Permuter(b"k")
+    for text in ("", "no digits", "4111111111111112", "256.1.1.1", "31.02.1999", "version 1.2.3.4.5", "Licensed under CC BY-NC 4.0.", "000-12-3456", "GB00 WEST 1234 5698 7654 32"):
+        assert pii.pseudonymise(text, p) == (text, [])
+    assert pii.pseudonymise(None, p) == (None, [])
+
+
+def test_pseudonym_table(spark, docs_of):
+    docs = docs_of(["mail x9@y.org", None, "", "9 " * 50_000])
+    found = pii.pseudonyms(docs, b"k").orderBy("doc_id").collect()
+    assert found[0]["text"] != "mail x9@y.org" and found[0]["pii_spans"][0]["kind"] == "email" and found[0]["text"].endswith("@y.org")
+    assert [r["text"] for r in found[1:]] == [None, "", "9 " * 50_000] and all(r["pii_spans"] == [] for r in found[1:])
+    assert found[0]["key"] == "y" and pii.pseudonyms(docs.limit(0), b"k").count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cached_ids_are_the_tokenizers(name):
+    from tokenizers import Tokenizer
+
+    from loquela.llm.tokens import Encoder
+
+    path = _vocabulary(name)
+    odd = ["a  b", "a\n \n b", "\n b", " \n b", "a  b c", "x <|endoftext|> y<|endoftext|>z", "Don't  do\tthis 's", "", "  ", "été ÉTÉ ΑΣ Σ", "a\x1cb \x85 c", "é ́a ok", "a ́b", "a 　 b", "<|startoftext|>q 日本 語"]
+    tokenizer = Tokenizer.from_file(path)
+    got = Encoder(path, spaced=name.startswith("byte")).encode([*odd, None])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [*[tokenizer.encode(t, add_special_tokens=False).ids for t in odd], []]
