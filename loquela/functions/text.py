@@ -17,6 +17,11 @@ def truthy_or(default: str, *names: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names], F.lit(default))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once for each row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def stripped(text: Column) -> Column:
     """Without white space (Unicode's) at either end; null is empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loquela.functions.text import filter_form, stripped, truthy_or, words_of
+from loquela.functions.text import filter_form, let, truthy_or, words_of
 
 # Phrases that speech recognition makes up, anywhere in a text and as a whole text.
 PHRASES = (
@@ -92,19 +92,21 @@ def reasons(rules: QualityRules = QualityRules(), text: str = "text", compressio
     """Why a row is garbage: an array of labels in a fixed order, empty for a good row."""
     if not rules.enabled:
         return F.array().cast("array<string>")
-    norm = filter_form(stripped(F.col(text)))
-    n, distinct, most = word_shares(words_of(norm))
-    ratio, db, size = F.col(compression), F.col(rms), F.length(norm)
+    ratio, db = F.col(compression), F.col(rms)
     label = lambda on, cond, name: F.when(F.lit(on) & F.coalesce(cond, F.lit(False)), F.lit(name))
-    return F.array_compact(
-        F.array(
+
+    def judged(norm: Column) -> Column:
+        size = F.length(norm)
+        repeated = let(words_of(norm), lambda w: is_repeated(*word_shares(w), rules))
+        return F.array(
             label(rules.drop_blacklisted, has_phrase(norm, rules.phrases) | is_whole_text(norm, rules.whole_texts), "blacklist"),
-            label(rules.drop_repeated, is_repeated(n, distinct, most, rules), "repeated_words"),
+            label(rules.drop_repeated, repeated, "repeated_words"),
             label(rules.drop_compressed, ratio >= rules.very_high_compression, "very_high_compression"),
             label(rules.drop_compressed, (ratio < rules.very_high_compression) & (ratio >= rules.high_compression) & (size > rules.short_chars), "high_compression"),
             label(rules.drop_quiet, (db <= rules.quiet_db) & ((size >= rules.quiet_keep_chars) | F.lit(not rules.keep_short)), "low_rms"),
         )
-    )
+
+    return F.array_compact(let(filter_form(F.col(text)), judged))
 
 
 def split(rows: DataFrame, rules: QualityRules = QualityRules()) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loquela.functions.text import collapsed, hms_ms, truthy_or
+from loquela.functions.text import collapsed, hms_ms, let, truthy_or
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,10 @@ class TimingRules:
 
 
 def longest_duration(text: Column, rules: TimingRules = TimingRules()) -> Column:
-    n = F.length(collapsed(text))
+    return let(F.length(collapsed(text)), lambda n: _cap(n, rules))
+
+
+def _cap(n: Column, rules: TimingRules) -> Column:
     long = F.greatest(F.lit(rules.shortest), F.least(F.lit(rules.long_cap), n / max(1.0, rules.chars_per_second) + rules.padding))
     return F.when(n <= rules.short_chars, F.lit(rules.short_cap)).when(n <= rules.medium_chars, F.lit(rules.medium_cap)).otherwise(long)
 

@@ -30,13 +30,14 @@ def clean(raw: DataFrame, cfg: dict | None = None, key: str = "session") -> tupl
     """(clean rows, rejected rows) of raw rows that carry pos.
 
     Repaired segments are no longer than the longest text's cap, which makes the interval
-    join's bucket; without repair the bucket is measured.
+    join's bucket; without repair the bucket is measured. The rows that several later steps
+    read are persisted (memory, then disk), so no step computes an earlier one again.
     """
     q, t, d, m = rules_of(cfg or {})
     kept, rejected = quality.split(raw, q)
-    rows = timing.repair(kept, t, (key,))
+    rows = timing.repair(kept, t, (key,)).persist()
     rows = dedup.deduplicate(rows, d, key, bucket=max(20.0, t.long_cap) if t.enabled else None)
-    rows = timing.repair(rows, t, (key,))
+    rows = timing.repair(rows, t, (key,)).persist()
     rows = merge.merge_adjacent(rows, key=key, **m)
     return timing.repair(rows, t, (key,)), rejected
 
