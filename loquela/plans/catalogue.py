@@ -416,7 +416,8 @@ def leader_gate(spark, sf_dir):
 @query(
     "muted_share",
     f"""SELECT track, round(1 - avg(CASE WHEN keep THEN 1 ELSE 0 END), 9) AS muted FROM (SELECT track, max(k) OVER (PARTITION BY track ORDER BY win ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 AS keep
-FROM (SELECT *, CASE WHEN db >= max(db) OVER (PARTITION BY win) - 60 THEN 1 ELSE 0 END AS k FROM {_LEVELS})) GROUP BY 1""",
+FROM (SELECT *, CASE WHEN db >= max(db) OVER (PARTITION BY win) - 60 THEN 1 ELSE 0 END AS k FROM {_LEVELS}
+  WHERE win <= (SELECT min(m) FROM (SELECT max(win) AS m FROM {_LEVELS} GROUP BY track)))) GROUP BY 1""",
 )
 def muted_share(spark, sf_dir):
     gated = audio.leader_gate(audio.aligned(_levels(spark, sf_dir)), margin_db=60)
