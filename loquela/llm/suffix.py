@@ -290,33 +290,31 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, s, doc_id, ord, start): mark repeats, keep what has another segment to meet."""
-    rest: list[np.ndarray] | None = None
-
-    def judge(c: list[np.ndarray]) -> pa.RecordBatch | None:
-        h, s, doc, ord_, start, n, again = c
-        real = ~again
-        same_h = (h[1:] == h[:-1]) & real[1:] & real[:-1]
-        copy = np.concatenate([[False], same_h & (s[1:] == s[:-1])])
-        group = np.cumsum(np.concatenate([[True], ~same_h])) - 1
-        kinds = np.bincount(group, weights=real & ~copy)
-        keep = again | copy | (kinds[group] > 1)
-        if not keep.any():
-            return None
-        return _table(h[keep], s[keep], doc[keep], ord_[keep], start[keep], n[keep], (again | copy)[keep])
+    """Rows sorted by (h, s, doc_id, ord, start): mark repeats, keep what has another segment to meet.
 
+    Of a gram that goes on in the next batch two rows are carried over, its first and its last:
+    they tell whether another segment was met and whether the next row repeats one.
+    """
+    rest: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         now = [batch.column(c).to_numpy(zero_copy_only=False) for c in _FIELDS]
+        sent = np.zeros(len(now[0]), bool)
         if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        end = int(np.searchsorted(now[0], now[0][-1]))
-        rest = [x[end:] for x in now]
-        if end and (found := judge([x[:end] for x in now])) is not None:
-            yield found
-    if rest is not None and (found := judge(rest)) is not None:
-        yield found
+            sent = np.concatenate([rest[-1], sent])
+            now = [np.concatenate(x) for x in zip(rest[:-1], now, strict=True)]
+        h, s, doc, ord_, start, n, again = now
+        same_h = (h[1:] == h[:-1]) & ~again[1:] & ~again[:-1]
+        copy = np.concatenate([[False], same_h & (s[1:] == s[:-1])])
+        group = np.cumsum(np.concatenate([[True], ~same_h])) - 1
+        kinds = np.bincount(group, weights=~again & ~copy)
+        keep = again | copy | (kinds[group] > 1)
+        out = keep & ~sent
+        if out.any():
+            yield _table(h[out], s[out], doc[out], ord_[out], start[out], n[out], (again | copy)[out])
+        ends = np.unique([np.searchsorted(group, group[-1]), len(h) - 1])
+        rest = [x[ends] for x in (*now, keep | sent)]
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
