@@ -158,6 +158,19 @@ def test_repeated_spans_brute_force(spark, docs_of):
     assert suffix.repeated_spans(docs_of(texts).limit(0)).count() == 0
 
 
+def test_repeats_across_batches(spark, docs_of):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 60))) + passage[rng.randint(0, 40) : rng.randint(180, 260)] + str(rng.random()) for _ in range(80)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        found = suffix.repeated_spans(docs_of(texts).repartition(9)).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert [tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in found] == plain_removed([t.encode() for t in texts])
+
+
 def test_long_text_runs_cover_every_window():
     raw = np.random.default_rng(6).integers(97, 100, 700_000).astype(np.uint8).tobytes()
     h, start, n = suffix.runs(raw)
