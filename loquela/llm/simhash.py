@@ -242,21 +242,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# Similarity at five words: the same index over a wide fingerprint
+# Similarity at five words: a prefix index over the shingle sets themselves
 
-#: 64-bit words of a wide fingerprint, and posting keys of three positional bytes each.
-WIDE, KEYS = 16, 160
-#: The similarity read off 1024 bits deviates by about 0.025, so pairs this far below pass too.
-MARGIN = 0.035
-_SALT = (np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
-_TRIPLES = np.array([(k, (k + a) % (8 * WIDE), (k + b) % (8 * WIDE)) for a, b in ((43, 85), (29, 71)) for k in range(8 * WIDE)])[:KEYS]
+#: Rows (in expectation) whose shingles are counted for the index's order, and how many are ranked.
+SAMPLED, RANKED = 10_000, 1 << 18
+#: Lists up to this many sets give all their pairs, longer ones a forest first.
+SHORT = 64
+#: Bits of the bitmap that tells which sets the pairs need.
+NEEDED_BITS = 24
+_EPS = 1e-9
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> tuple[bytes, int]:
-    """(1024-bit SimHash of the distinct word shingles, their number); zeros and 0 without a word."""
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's word shingles, in order; none without a word."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return bytes(8 * WIDE), 0
+        return np.zeros(0, np.uint64)
     m = max(1, len(parts) - words + 1)
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -264,97 +265,117 @@ def wide_fingerprint(text: str | None, words: int = 5) -> tuple[bytes, int]:
     starts = (ends - sizes)[:m].tolist()
     ends = ends[len(parts) - m :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, m))
-    out = []
-    for salt in _SALT:
-        total = np.zeros(64, np.int64)
-        for i in range(0, len(h), BLOCK):
-            x = (h[i : i + BLOCK] ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(31)
-            x *= np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(29)
-            total += bit_counts(x.view(np.uint8).reshape(-1, 8))
-        out.append(np.packbits(total * 2 > len(h)).tobytes())
-    return b"".join(out), len(h)
-
-
-def _wide_forest(fps: np.ndarray, n: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Spanning forest of one list: pairs whose shingle sets are similar enough by the angle
-    that their differing bits measure."""
-    rest, edges = np.arange(len(fps)), []
-    while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            i = front.pop()
-            part = (n[rest] >= (similarity - MARGIN) * n[i] - 1) & (n[i] >= (similarity - MARGIN) * n[rest] - 1)
-            apart = np.bitwise_count(fps[rest[part]] ^ fps[i]).sum(axis=1) / (64 * WIDE)
-            both = np.cos(np.pi * apart) * np.sqrt(n[rest[part]] * float(n[i]))
-            near = np.zeros(len(rest), bool)
-            near[part] = both >= (similarity - MARGIN) * (n[rest[part]] + n[i] - both)
-            new = rest[near]
-            edges += [(i, j) for j in new]
-            front += new.tolist()
-            rest = rest[~near]
-    return edges
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, m))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): classes of texts whose word-shingle sets have this Jaccard similarity.
+def parity_bits(h: np.ndarray) -> bytes:
+    """For each residue of the hashes, whether an odd number has it; a power of two of residues.
 
-    A radius of three bits in 64 finds only almost equal texts. Here the fingerprint has 1024
-    bits and the similarity is read off the share of differing bits, with MARGIN for its
-    deviation. Pairs are looked at where they share three given positional bytes under one of
-    the KEYS, which pairs at 0.8 do with a probability of 0.96. Equal fingerprints are one entry. Lists of one entry
-    are dropped before the fingerprints join them; the others yield spanning forests.
-    component_id is the smallest id reachable; nulls and repeats are as in near_duplicates().
+    Two sets differ in at least as many hashes as their bits differ. Halves of the bits fold
+    by xor into those of half as many residues.
     """
+    width = max(64, 1 << max(0, len(h) - 1).bit_length())
+    counts = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, "text"):
-            found = [wide_fingerprint(t, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "fp", "n"])
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-            b = fps[:, _TRIPLES].astype(np.int64)
-            key = np.arange(KEYS, dtype=np.int64) << 24 | b[:, :, 0] << 16 | b[:, :, 1] << 8 | b[:, :, 2]
-            rep = np.repeat(batch.column("rep").to_numpy(), KEYS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(rep)], ["key", "rep"])
+def prefix(h: np.ndarray, ranked: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's hashes, rare ones first, that two similar sets share one of them.
 
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by key, those whose key has another row."""
-        key = rep = np.zeros(0, np.int64)
-        out = np.zeros(0, bool)  # whether a row is out already: the last one is carried over
-        for batch in batches:
-            key = np.concatenate([key, batch.column("key").to_numpy()])
-            rep = np.concatenate([rep, batch.column("rep").to_numpy()])
-            same = key[1:] == key[:-1]
-            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            keep[: len(out)] &= ~out
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rep[keep])], ["key", "rep"])
-            out = np.concatenate([out, np.zeros(len(key) - len(out), bool)]) | keep
-            key, rep, out = key[-1:], rep[-1:], out[-1:]
+    Any fixed order of all hashes is without loss; `ranked` (sorted) are frequent ones, which
+    `rank` puts behind the others.
+    """
+    p = len(h) - int(np.ceil(similarity * len(h) - _EPS)) + 1
+    if not len(ranked):
+        return h[:p]
+    at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
+    known = ranked[at] == h
+    rare, often = h[~known], h[known]
+    return rare[:p] if len(rare) >= p else np.concatenate([rare, often[np.argsort(rank[at[known]])]])[:p]
+
+
+class _Bounds:
+    """Which pairs of some sets can be similar enough, by their sizes and parity bits: without loss."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes], similarity: float) -> None:
+        self.n, self.similarity = n, similarity
+        self.width = np.array([len(b) for b in bits], np.int64)
+        self.place, self.rows = {}, {}
+        for w in np.unique(self.width).tolist():
+            own, twice = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            place = np.zeros(len(bits), np.int64)
+            place[own], place[twice] = np.arange(len(own)), len(own) + np.arange(len(twice))
+            rows = np.frombuffer(b"".join([bits[i] for i in own]), np.uint64).reshape(len(own), -1)
+            if len(twice):
+                both = np.frombuffer(b"".join([bits[i] for i in twice]), np.uint64).reshape(len(twice), 2, -1)
+                rows = np.concatenate([rows, both[:, 0] ^ both[:, 1]])
+            self.place[w], self.rows[w] = place, rows
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, s = self.n, self.similarity
+        found = (n[i] >= s * n[j] - _EPS) & (n[j] >= s * n[i] - _EPS)  # so widths differ by a factor of 2 at most
+        width = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width[found]).tolist():
+            some = np.flatnonzero(found & (width == w))
+            place, rows = self.place[w], self.rows[w]
+            for k in range(0, len(some), BLOCK):
+                part = some[k : k + BLOCK]
+                a, b = i[part], j[part]
+                apart = np.bitwise_count(rows[place[a]] ^ rows[place[b]]).sum(axis=1, dtype=np.int64)
+                total = n[a] + n[b]
+                found[part] = (total - apart) // 2 >= s / (1 + s) * total - _EPS
+        return found
+
+
+def _list_pairs(key: np.ndarray, bounds: _Bounds, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that may be similar within lists of equal key: all of a short list, a spanning
+    forest of a long one. With roots, all pairs of different roots instead, whatever the list."""
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    size = np.diff(cut)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if root is None:
+        d, at = 1, np.flatnonzero(np.repeat(size <= SHORT, size))
+        while len(at):  # pairs at distance d within short lists, for all lists at once
+            at = at[at + d < len(key)]
+            at = at[key[at] == key[at + d]]
+            near = at[bounds.near(at, at + d)]
+            a.append(near)
+            b.append(near + d)
+            d += 1
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if root is not None:
+            for i in range(s, e):
+                j = i + 1 + np.flatnonzero(root[i + 1 : e] != root[i])
+                j = j[bounds.near(np.full(len(j), i), j)]
+                a.append(np.full(len(j), i))
+                b.append(j)
+        elif e - s > SHORT:
+            rest = np.arange(s, e)
+            while len(rest):
+                front, rest = [rest[0]], rest[1:]
+                while front and len(rest):
+                    i = front.pop()
+                    near = bounds.near(np.full(len(rest), i), rest)
+                    a.append(np.full(int(near.sum()), i))
+                    b.append(rest[near])
+                    front += rest[near].tolist()
+                    rest = rest[~near]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _candidates(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) pairs of nodes, a < b, out of (key, node, n, bits[, root]) rows."""
+    rooted = "root" in dealt.columns
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def lists(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, rep, n = (rows.column(c).to_numpy() for c in ("key", "rep", "n"))
-            fps = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            a, b = [], []
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if e - s > 1:
-                    _, first = np.unique(rep[s:e], return_index=True)
-                    at = s + first
-                    for i, j in _wide_forest(fps[at], n[at], similarity):
-                        a.append(rep[at[i]])
-                        b.append(rep[at[j]])
-            pairs = np.unique(np.array([a, b], np.int64), axis=1) if a else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        def lists(rows: pa.Table) -> pa.RecordBatch:
+            key, node, n = (rows.column(c).to_numpy() for c in ("key", "node", "n"))
+            root = rows.column("root").to_numpy() if rooted else None
+            i, j = _list_pairs(key, _Bounds(n, rows.column("bits").to_pylist(), similarity), root)
+            pairs = np.unique(np.sort(np.array([node[i], node[j]], np.int64), axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -362,22 +383,125 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             keys = batch.column("key").to_numpy()
             end = int(np.searchsorted(keys, keys[-1]))
             if end or (held and held[0].column("key")[0].as_py() != keys[0]):
-                rows = pa.Table.from_batches([*held, batch.slice(0, end)])
+                yield lists(pa.Table.from_batches([*held, batch.slice(0, end)]))
                 held = []
-                yield from lists(rows)
             held.append(batch.slice(end))
         if held:
-            yield from lists(pa.Table.from_batches(held))
+            yield lists(pa.Table.from_batches(held))
+
+    rows = dealt.repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those (a, b) pairs whose sets, from (node, grams), have this Jaccard similarity."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    cell = F.shiftrightunsigned(F.xxhash64("node"), 64 - NEEDED_BITS)
+    words = nodes.groupBy(F.shiftright(cell, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(node), {64 - NEEDED_BITS}) & 63 AS int))")).alias("v")).toArrow()
+    bitmap = np.zeros(1 << NEEDED_BITS - 6, np.int64)  # of fixed size: other sets don't travel
+    bitmap[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    shared = pairs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.column("cell").to_numpy()
+            yield batch.filter(pa.array((shared.value[c >> 6] >> (c & 63).astype(np.uint64) & np.uint64(1)).astype(bool))).select(["node", "grams"])
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(common >= similarity * (len(both) - common) - _EPS)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    some = sets.select("node", "grams", cell.alias("cell")).mapInArrow(needed, "node long, grams binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    joined = pairs.join(some.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(same, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): classes of texts whose word-shingle sets have this Jaccard similarity.
+
+    A radius of three bits in 64 finds only almost equal texts, so this works on the sets. In
+    one order of all shingles, sets this similar share one of their first: these are posted,
+    rare shingles first by a sample's counts, which changes the lists' lengths and not what is
+    found. In a list, sizes and parity bits rule out pairs without loss, and what is left is
+    verified on the sets. A long list gives a spanning forest of possible pairs first; when
+    these are verified, all possible pairs that they left in different classes are.
+    Equal sets are one node, named by a 64-bit hash. component_id is the smallest id
+    reachable; nulls and repeats are as in near_duplicates().
+    """
+    spark = docs.sparkSession
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text"):
+            found = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            grams = [h.tobytes() for h in found]
+            node = np.array([xxhash.xxh3_64_intdigest(g) if g else 0 for g in grams], np.uint64).view(np.int64)
+            arrays = [pa.array(node), pa.array([len(h) for h in found], pa.int64()), pa.array([parity_bits(h) for h in found], pa.binary()), pa.array(grams, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "node", "n", "bits", "grams"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in batch.column("grams"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g.as_buffer(), np.int64))], ["gram"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fps = written(rows.mapInArrow(prints, "doc_id long, fp binary, n long"))
-    reps = written(fps.filter("doc_id IS NOT NULL").groupBy("fp", "n").agg(F.min("doc_id").alias("rep")))
-    posted = reps.filter("n > 0").select("fp", "rep").mapInArrow(post, "key long, rep long")
-    met = posted.repartition("key").sortWithinPartitions("key").mapInArrow(together, "key long, rep long")
-    dealt = met.join(reps, "rep").select("key", "rep", "n", "fp").repartition("key").sortWithinPartitions("key", "rep")
-    roots = components(written(dealt.mapInArrow(link, "a long, b long").distinct()))
-    of_fp = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id"))
-    joined = fps.join(of_fp, ["fp", "n"], "left")
+    fps = written(rows.mapInArrow(sets_of, "doc_id long, node long, n long, bits binary, grams binary"))
+    sets = fps.filter("doc_id IS NOT NULL AND n > 0")
+    drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < min(1.0, SAMPLED / max(1, fps.count())) * (1 << 30)
+    often = sets.filter(drawn).select("node", "grams").dropDuplicates(["node"]).mapInArrow(each, "gram long").groupBy("gram").count().filter("count > 1")
+    often = often.orderBy(F.col("count").desc(), "gram").limit(RANKED).select("gram").toArrow().column(0).to_numpy().view(np.uint64)
+    order = np.argsort(often)
+    ranks = spark.sparkContext.broadcast((often[order], -order))  # the most frequent last
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranked, rank = ranks.value
+        seen: set[int] = set()
+        for batch in batches:
+            keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for node, g in zip(batch.column("node").to_pylist(), batch.column("grams"), strict=True):
+                if node not in seen:  # a copy in the same task
+                    seen.add(node)
+                    keys.append(prefix(np.frombuffer(g.as_buffer(), np.uint64), ranked, rank, similarity).view(np.int64))
+                    owners.append(np.full(len(keys[-1]), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "node"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by key and node, without repeats those whose key has another node."""
+        key = node = np.zeros(0, np.int64)
+        out = np.zeros(0, bool)  # whether a row is out already: the last one is carried over
+        for batch in batches:
+            key = np.concatenate([key, batch.column("key").to_numpy()])
+            node = np.concatenate([node, batch.column("node").to_numpy()])
+            out = np.concatenate([out, np.zeros(len(key) - len(out), bool)])
+            first = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])[: len(key)]
+            key, node, out = key[first], node[first], out[first]
+            same = key[1:] == key[:-1]
+            keep = (np.concatenate([[False], same]) | np.concatenate([same, [False]]))[: len(key)]
+            new = keep & ~out
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(node[new])], ["key", "node"])
+            key, node, out = key[-1:], node[-1:], (out | keep)[-1:]
+
+    posted = sets.select("node", "grams").mapInArrow(post, "key long, node long")
+    met = written(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(together, "key long, node long"))
+    bits = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    links = written(_verified(written(_candidates(met.join(bits, "node"), similarity)), sets, similarity))
+    long = written(met.groupBy("key").count().filter(F.col("count") > SHORT).select("key"))
+    roots = components(links)
+    if long.first():
+        rooted = met.join(long, "key", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        more = _verified(written(_candidates(rooted.join(mixed, "key", "left_semi").join(bits, "node"), similarity)), sets, similarity)
+        roots = components(written(links.unionByName(more)))
+    named = fps.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    named = named.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    of_node = named.join(least, "root").select("node", "component_id")
+    joined = fps.select("doc_id", "node").join(of_node, "node", "left")
     return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

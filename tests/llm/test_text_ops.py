@@ -128,6 +128,37 @@ def test_similar_documents(spark, docs_of):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(owner)) and kept.columns == docs_of(texts).columns
 
 
+def plain_classes(texts, similarity=0.8):
+    """The smallest index of each text's class by brute force over the sets of five words."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    fps = {i: i for i in range(len(texts))}
+
+    def find(i):
+        return i if fps[i] == i else find(fps[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                fps[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_documents_below_the_threshold_stay_apart(spark, docs_of):
+    rng = random.Random(15)
+    texts = []
+    for _ in range(40):  # 200 sets' worth of words, so many replaced at the end that 0.75 to 0.799 is left
+        w = [f"v{rng.randint(0, 10**6)}" for _ in range(204)]
+        k = rng.randint(23, 28)
+        texts += [" ".join(w), " ".join(w[:-k] + [f"q{rng.random()}" for _ in range(k)])]
+    assert plain_classes(texts) == list(range(80))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(texts)).collect()}
+    assert found == {i: i for i in range(80)}
+
+
 def test_cut():
     assert packing.cut(2048, 2048) == [(0, 2048)]
     assert packing.cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
