@@ -213,6 +213,18 @@ def test_page_differencing(spark):
     assert htmltext.extract(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_its_text(spark):
+    frame = "<div>Shop name</div><div>{}</div><div>All rights</div>"
+    story = frame.format("A long story that was captured more than once, word for word the same")
+    rows = [(1, "http://www.h.org/a/1", story), (2, "http://m.h.org/a/1?page=2", story), (3, "https://h.org/a/1#top", story), (4, "http://h.org/a/1/print", story)]
+    alone = {r["page_id"]: r["text"] for r in htmltext.extract(pages_of(spark, rows)).collect()}
+    whole = "Shop name A long story that was captured more than once, word for word the same All rights"
+    assert alone == {i: whole for i in (1, 2, 3, 4)}  # no other page tells the frame
+    rows += [(5, "http://h.org/z/other", frame.format("Another story")), (6, "http://h.org/z/other?x", frame.format("Another story"))]
+    found = {r["page_id"]: r["text"] for r in htmltext.extract(pages_of(spark, rows)).collect()}
+    assert found == {i: whole[10:-11] for i in (1, 2, 3, 4)} | {5: "Another story", 6: "Another story"}
+
+
 @given(st.lists(st.integers(0, 65535), max_size=300), st.integers(1, 5))
 @settings(max_examples=60, deadline=None)
 def test_coder_round_trip(ids, repeat):
