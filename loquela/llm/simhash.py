@@ -248,6 +248,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SAMPLED, RANKED = 10_000, 1 << 18
 #: Lists up to this many sets give all their pairs, longer ones a forest first.
 SHORT = 64
+#: Parity bits of a set at most: fewer rule out less and lose nothing. Words compared at once.
+WIDEST, AT_ONCE = 4096, 1 << 18
 #: Bits of the bitmap that tells which sets the pairs need.
 NEEDED_BITS = 24
 _EPS = 1e-9
@@ -274,7 +276,7 @@ def parity_bits(h: np.ndarray) -> bytes:
     Two sets differ in at least as many hashes as their bits differ. Halves of the bits fold
     by xor into those of half as many residues.
     """
-    width = max(64, 1 << max(0, len(h) - 1).bit_length())
+    width = min(WIDEST, max(64, 1 << max(0, len(h) - 1).bit_length()))
     counts = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
 
@@ -318,8 +320,9 @@ class _Bounds:
         for w in np.unique(width[found]).tolist():
             some = np.flatnonzero(found & (width == w))
             place, rows = self.place[w], self.rows[w]
-            for k in range(0, len(some), BLOCK):
-                part = some[k : k + BLOCK]
+            step = AT_ONCE // rows.shape[1]
+            for k in range(0, len(some), step):
+                part = some[k : k + step]
                 a, b = i[part], j[part]
                 apart = np.bitwise_count(rows[place[a]] ^ rows[place[b]]).sum(axis=1, dtype=np.int64)
                 total = n[a] + n[b]

@@ -159,6 +159,30 @@ def test_similar_documents_below_the_threshold_stay_apart(spark, docs_of):
     assert found == {i: i for i in range(80)}
 
 
+@pytest.mark.parametrize("short", [64, 3])
+def test_similar_documents_brute_force(spark, docs_of, monkeypatch, short):
+    """Every pair at 0.8 or more, also of few words, in families whose lists are long or short."""
+    monkeypatch.setattr(simhash, "SHORT", short)
+    rng = random.Random(16)
+    common = [f"c{i}" for i in range(12)]
+    texts = []
+    for _ in range(25):
+        for n in (1, 5, 8, 9, 10, 17, 60, 104, 300):
+            w = [f"v{rng.randint(0, 10**6)}" for _ in range(n)] + (common if rng.random() < 0.3 else [])
+            texts.append(" ".join(w))
+            texts.append(" ".join([*w, "more"]))
+            k = max(1, round((n - 4) / 9))
+            texts.append(" ".join(w[:-k] + [f"q{rng.random()}" for _ in range(k)]))
+    for _ in range(3):  # copies of one text around the threshold
+        w = [f"v{rng.randint(0, 10**6)}" for _ in range(100)]
+        for _ in range(20):
+            k = rng.randint(1, 12)
+            texts.append(" ".join(w[:-k] + [f"q{rng.random()}" for _ in range(k)]))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of(texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == plain_classes(texts)
+    assert simhash.similar_documents(docs_of(texts[:2]).limit(0)).count() == 0
+
+
 def test_cut():
     assert packing.cut(2048, 2048) == [(0, 2048)]
     assert packing.cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
