@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loquela.llm._shared import in_slices, written
+from loquela.llm._shared import in_slices, task, written
 
 #: Edits allowed for each word of an item; words that an item needs at least.
 RATE, LEAST = 0.2, 5
@@ -132,7 +132,7 @@ def _item_keys(items: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "size", "at", "n_words", "key"])
 
-    return items.mapInArrow(run, "item_id long, size int, at int, n_words int, key long")
+    return items.mapInArrow(task(run), "item_id long, size int, at int, n_words int, key long")
 
 
 def _pair_cells(items: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _pair_cells(items: DataFrame) -> DataFrame:
                     cells = np.unique(_pairs(h[at : at + size]) >> np.uint64(64 - PAIR_BITS)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(len(cells), size, np.int32))], ["cell", "size"])
 
-    return items.select("text").mapInArrow(run, "cell int, size int").distinct()
+    return items.select("text").mapInArrow(task(run), "cell int, size int").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "at", "low", "keys", "context"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    windows = written(texts.mapInArrow(run, "doc_id long, at long, low long, keys array<long>, context string"))
+    windows = written(texts.mapInArrow(task(run), "doc_id long, at long, low long, keys array<long>, context string"))
     # A passage shows in several windows: those within an item's length are verified as one stretch.
     hits = windows.select("doc_id", "at", F.explode("keys").alias("key")).join(keys.select("key", "item_id", F.col("at").alias("part"), "n_words"), "key")
     begin = F.col("at") - F.col("part")
@@ -240,7 +240,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "distance", "start_word", "n_words"])
 
-    verified = pairs.mapInArrow(verify, "doc_id long, item_id long, distance int, start_word long, n_words int")
+    verified = pairs.mapInArrow(task(verify), "doc_id long, item_id long, distance int, start_word long, n_words int")
     best = verified.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start_word", "n_words")).alias("b"))
     return best.select("doc_id", "item_id", "b.distance", "b.start_word", "b.n_words")
 

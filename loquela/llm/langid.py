@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loquela.llm._shared import in_slices, written
+from loquela.llm._shared import in_slices, task, written
 
 #: Rows of each declared language that the likelihoods are fitted on (in expectation), the rows
 #: a language needs to be one at all, and how many languages there may be (the most frequent).
@@ -82,7 +82,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
                 cell, n = np.unique(trigrams(texts)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), at[lang], np.int32)), pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "cell", "n"])
 
-    summed = rows.filter(drawn).select("declared", "text").mapInArrow(count, "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    summed = rows.filter(drawn).select("declared", "text").mapInArrow(task(count), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table = np.full((CELLS, len(langs)), ADD)
     for r in summed.toArrow().to_batches():
         table[r.column("cell").to_numpy(), r.column("lang").to_numpy()] += r.column("n").to_numpy()
@@ -115,7 +115,7 @@ def score(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ll, pa.array(sizes), best], [*keep, "ll", "n_grams", "best"])
 
     kinds = ", ".join(f"{n} {k}" for n, k in rows.dtypes if n != "text")
-    return rows.select(*keep, "text").mapInArrow(run, f"{kinds}, ll array<double>, n_grams long, best int")
+    return rows.select(*keep, "text").mapInArrow(task(run), f"{kinds}, ll array<double>, n_grams long, best int")
 
 
 def _tally(scored: DataFrame, n: int, *keys: str, name: str) -> DataFrame:
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, doc_id: Column, text: Column, declared: Column, ho
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), language, pa.array(sure), batch.column("declared"), pa.array(letters & (sure >= confident))], ["doc_id", "text_hash", "language", "confidence", "declared", "kept"])
 
     joined = scored.join(by_host, "host", "left").join(by_suffix, "suffix", "left")
-    return joined.select("doc_id", "text_hash", "declared", "ll", "best", "of_host", "of_suffix").mapInArrow(fuse, "doc_id long, text_hash long, language string, confidence double, declared string, kept boolean")
+    return joined.select("doc_id", "text_hash", "declared", "ll", "best", "of_host", "of_suffix").mapInArrow(task(fuse), "doc_id long, text_hash long, language string, confidence double, declared string, kept boolean")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loquela.llm._shared import in_slices
+from loquela.llm._shared import in_slices, task
 
 ROUNDS = 10
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -266,4 +266,4 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(*[F.col(f"`{n}`").cast("string").alias(n) if n == text_col else F.col(f"`{n}`") for n in names])
     kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
-    return rows.mapInArrow(run, f"{kinds}, pii_spans array<struct<start:int,end:int,kind:string>>")
+    return rows.mapInArrow(task(run), f"{kinds}, pii_spans array<struct<start:int,end:int,kind:string>>")

@@ -21,9 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from loquela.llm._shared import in_slices, written
+from loquela.llm._shared import in_slices, task, written
 from loquela.llm.components import components
 
 #: Shingles hashed at once; bounds the memory for one very long text.
@@ -74,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(task(run), "doc_id long, fp long")
 
 
 def _byte(fp: Column, i: int) -> Column:
@@ -126,20 +125,38 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _forest_by_probes(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """The same for a long list whose fingerprints differ in three bytes only: look up each
-    of the values within the radius, a fixed number, instead of each other fingerprint."""
-    varying = np.bitwise_or.reduce(fps ^ fps[0])
-    bits = [np.uint64(1 << b) for b in range(64) if int(varying) >> b & 1]
-    edges = []
-    order = np.argsort(fps)
-    ordered = fps[order]
+    """The same for a long list whose fingerprints differ in three bytes only: look each of the
+    values within the radius up in a table of these bits, instead of meeting each other fingerprint."""
+    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    code = np.zeros(len(fps), np.int64)
+    width = 0
+    for b in range(64):
+        if varying >> b & 1:
+            code |= (fps >> np.uint64(b) & np.uint64(1)).astype(np.int64) << width
+            width += 1
+    table = np.full(1 << width, -1, np.int32)
+    table[code] = np.arange(len(fps), dtype=np.int32)
+    root = np.arange(len(fps))
+    edges: list[tuple[int, int]] = []
     for k in range(1, radius + 1):
-        for some in combinations(bits, k):
-            flip = np.bitwise_or.reduce(np.array(some, np.uint64))
-            wanted = ordered ^ flip
-            at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
-            hit = (ordered[at] == wanted) & (wanted > ordered)
-            edges += list(zip(order[hit].tolist(), order[at[hit]].tolist(), strict=True))
+        for some in combinations(range(width), k):
+            other = code ^ sum(1 << b for b in some)
+            j = table[other]
+            i = np.flatnonzero((j >= 0) & (code < other))
+            j = j[i]
+            while True:  # every root hangs below one smaller root at most, by one link
+                a, b = root[i], root[j]
+                apart = a != b
+                if not apart.any():
+                    break
+                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+                high, at = np.unique(np.maximum(a, b), return_index=True)
+                root[high] = np.minimum(a, b)[at]
+                edges += zip(i[at].tolist(), j[at].tolist(), strict=True)
+                while (up := root[root]).tobytes() != root.tobytes():
+                    root = up
+            if not root.any():
+                return edges
     return edges
 
 
@@ -164,7 +181,7 @@ def _links(radius: int):
             d += 1
         for s, n in zip(cut[:-1][size > 64], size[size > 64], strict=True):
             part = fp[s : s + n]
-            pairs = _forest(part, radius) if n <= 4 * LIST_LIMIT else _forest_by_probes(part, radius)
+            pairs = _forest(part, radius) if n <= LIST_LIMIT else _forest_by_probes(part, radius)
             if pairs:
                 i, j = np.array(pairs).T + s
                 a.append(rep[i])
@@ -212,14 +229,14 @@ def links(reps: DataFrame, radius: int = 3) -> DataFrame:
         raise ValueError("a radius over 3 leaves too few guaranteed positional bytes")
     posted, found = _posted(reps, _subsets(width, radius)), []
     while True:
-        sized = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))) if width < most else posted.repartition("key").withColumn("n", F.lit(0))
-        short = sized.filter(F.col("n") <= LIST_LIMIT).select("key", "fp", "rep").sortWithinPartitions("key", "fp")
-        found.append(short.mapInArrow(_links(radius), "a long, b long"))
-        if width == most:
+        long = written(posted.groupBy("key").count().filter(F.col("count") > LIST_LIMIT).select("key")) if width < most else None
+        split = long is not None and long.first() is not None
+        short = (posted.join(long, "key", "left_anti") if split else posted).select("key", "fp", "rep")
+        found.append(short.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(task(_links(radius)), "a long, b long"))
+        if not split:
             break
         width += 1
-        long = sized.filter(F.col("n") > LIST_LIMIT).select("fp", "rep").distinct()
-        posted = _posted(long, _subsets(width, radius))
+        posted = _posted(written(posted.join(long, "key", "left_semi").select("fp", "rep").distinct()), _subsets(width, radius))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -393,7 +410,7 @@ def _candidates(dealt: DataFrame, similarity: float) -> DataFrame:
             yield lists(pa.Table.from_batches(held))
 
     rows = dealt.repartition("key").sortWithinPartitions("key", "node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(task(run), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -420,13 +437,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep.append(common >= similarity * (len(both) - common) - _EPS)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = sets.select("node", "grams", cell.alias("cell")).mapInArrow(needed, "node long, grams binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    some = sets.select("node", "grams", cell.alias("cell")).mapInArrow(task(needed), "node long, grams binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     joined = pairs.join(some.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(same, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(task(same), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): classes of texts whose word-shingle sets have this Jaccard similarity.
+    """(doc_id, text_hash, root, component_id): classes of texts whose word-shingle sets have this Jaccard similarity.
 
     A radius of three bits in 64 finds only almost equal texts, so this works on the sets. In
     one order of all shingles, sets this similar share one of their first: these are posted,
@@ -434,8 +451,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found. In a list, sizes and parity bits rule out pairs without loss, and what is left is
     verified on the sets. A long list gives a spanning forest of possible pairs first; when
     these are verified, all possible pairs that they left in different classes are.
-    Equal sets are one node, named by a 64-bit hash. component_id is the smallest id
-    reachable; nulls and repeats are as in near_duplicates().
+    Equal sets are one node, named by a 64-bit hash. root names the class, text_hash the row's
+    text, for ids that several texts share. component_id is the smallest id reachable; nulls and
+    repeats are as in near_duplicates().
     """
     spark = docs.sparkSession
 
@@ -445,7 +463,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             grams = [h.tobytes() for h in found]
             node = np.array([xxhash.xxh3_64_intdigest(g) if g else 0 for g in grams], np.uint64).view(np.int64)
             arrays = [pa.array(node), pa.array([len(h) for h in found], pa.int64()), pa.array([parity_bits(h) for h in found], pa.binary()), pa.array(grams, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "node", "n", "bits", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], ["doc_id", "text_hash", "node", "n", "bits", "grams"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -453,10 +471,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g.as_buffer(), np.int64))], ["gram"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fps = written(rows.mapInArrow(sets_of, "doc_id long, node long, n long, bits binary, grams binary"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    fps = written(rows.mapInArrow(task(sets_of), "doc_id long, text_hash long, node long, n long, bits binary, grams binary"))
     sets = fps.filter("doc_id IS NOT NULL AND n > 0")
     drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < min(1.0, SAMPLED / max(1, fps.count())) * (1 << 30)
-    often = sets.filter(drawn).select("node", "grams").dropDuplicates(["node"]).mapInArrow(each, "gram long").groupBy("gram").count().filter("count > 1")
+    often = sets.filter(drawn).select("node", "grams").dropDuplicates(["node"]).mapInArrow(task(each), "gram long").groupBy("gram").count().filter("count > 1")
     often = often.orderBy(F.col("count").desc(), "gram").limit(RANKED).select("gram").toArrow().column(0).to_numpy().view(np.uint64)
     order = np.argsort(often)
     ranks = spark.sparkContext.broadcast((often[order], -order))  # the most frequent last
@@ -489,8 +508,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(node[new])], ["key", "node"])
             key, node, out = key[-1:], node[-1:], (out | keep)[-1:]
 
-    posted = sets.select("node", "grams").mapInArrow(post, "key long, node long")
-    met = written(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(together, "key long, node long"))
+    posted = sets.select("node", "grams").mapInArrow(task(post), "key long, node long")
+    met = written(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(task(together), "key long, node long"))
     bits = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     links = written(_verified(written(_candidates(met.join(bits, "node"), similarity)), sets, similarity))
     long = written(met.groupBy("key").count().filter(F.col("count") > SHORT).select("key"))
@@ -503,13 +522,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = fps.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
     named = named.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
-    joined = fps.select("doc_id", "node").join(of_node, "node", "left")
-    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    of_node = named.join(least, "root").select("node", "root", "component_id")
+    joined = fps.select("doc_id", "text_hash", "node").join(of_node, "node", "left")
+    has_id = F.col("doc_id").isNotNull()
+    return joined.select("doc_id", "text_hash", F.when(has_id, F.col("root")).alias("root"), F.when(has_id, F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row of each class: that with the smallest id; rows without an id all stay."""
-    chosen = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each class of similar_documents(): that with the smallest id, then text hash.
+
+    Another text under the same id is judged by its own class. Of repeated rows one stays; rows
+    without an id all stay. Columns unchanged.
+    """
+    one = classes.filter("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    one = one.select(F.col("one.doc_id").alias("__one_id"), F.col("one.text_hash").alias("__one_text")).distinct()
+    id_, text_hash = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    kept = docs.join(one, (id_ == one["__one_id"]) & (text_hash == one["__one_text"]), "left_semi")
+    kept = kept.withColumns({"__one_id": F.col("doc_id").cast("long"), "__one_text": F.xxhash64(F.col("text").cast("string"))}).dropDuplicates(["__one_id", "__one_text"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter("doc_id IS NULL"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loquela.llm._shared import in_slices, written
+from loquela.llm._shared import in_slices, task, written
 
 LENGTH, GRAM = 100, 24
 #: Segments a task settles among themselves at once, bytes hashed at once, bytes of a shard.
@@ -400,13 +400,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("ord", F.lit(0))
     least = -(1 << 63)
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(least)))
-    found = rows.mapInArrow(_segments, _ROW).repartition("h").sortWithinPartitions("h", "s", "doc_id", "ord", "start").mapInArrow(_meet, _ROW)
+    found = rows.mapInArrow(task(_segments), _ROW).repartition("h").sortWithinPartitions("h", "s", "doc_id", "ord", "start").mapInArrow(task(_meet), _ROW)
     met = written(found)
     wanted = met.filter("NOT again").groupBy("doc_id", "ord").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
-    segments = rows.join(wanted, ["doc_id", "ord"]).mapInArrow(_cut_out, "h long, doc_id long, ord int, start long, n int, segment binary")
+    segments = rows.join(wanted, ["doc_id", "ord"]).mapInArrow(task(_cut_out), "h long, doc_id long, ord int, start long, n int, segment binary")
     dealt = segments.repartition("h").sortWithinPartitions("h", "doc_id", "ord", "start")
-    again = dealt.mapInArrow(_shards, "doc_id long, ord int, start long, n int").unionByName(met.filter("again").select("doc_id", "ord", "start", "n"))
+    again = dealt.mapInArrow(task(_shards), "doc_id long, ord int, start long, n int").unionByName(met.filter("again").select("doc_id", "ord", "start", "n"))
     by_doc = written(again.groupBy("doc_id", "ord").agg(F.collect_list(F.struct("start", "n")).alias("found")))
     out = rows.join(by_doc, ["doc_id", "ord"], "left").select("doc_id", "text", "found")
-    done = out.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    done = out.mapInArrow(task(_finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loquela.llm import rangecoder
-from loquela.llm._shared import in_slices
+from loquela.llm._shared import in_slices, task
 from loquela.llm.tokens import encoder
 
 
@@ -52,7 +52,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, "part int, path string, n_docs long, n_ids long, n_bytes long")
+    return dealt.mapInArrow(task(run), "part int, path string, n_docs long, n_ids long, n_bytes long")
 
 
 def read_files(spark: SparkSession, folder: str, listing: list[tuple[int, str, int]], with_ids: bool = False) -> DataFrame:
@@ -94,7 +94,7 @@ def read_files(spark: SparkSession, folder: str, listing: list[tuple[int, str, i
         rows.append((part, path, start))
         start += n
     files = spark.createDataFrame(rows, "part int, path string, start long")
-    return files.repartitionByRange(len(rows), "part").mapInArrow(run, schema)
+    return files.repartitionByRange(len(rows), "part").mapInArrow(task(run), schema)
 
 
 def round_trip(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, with_ids: bool = False) -> DataFrame:

@@ -4,6 +4,10 @@ Both tokenizer kinds cut a text into pieces before merging, and no piece spans t
 of a space: so a text's ids are those of its space-separated words, in order. Each distinct word
 is encoded by the tokenizers library once for each cache and looked up afterwards. Texts in
 which white space meets a space (a run that one piece may cover) are encoded whole.
+
+For byte-level tokenizers new words are encoded many at a time, as one text, whose ids are cut
+apart at the mark that such tokenizers put in front of a word. Words for which that would not be
+safe (white space, control characters, special tokens) are encoded one by one.
 """
 
 from __future__ import annotations
@@ -13,8 +17,10 @@ import re
 
 import numpy as np
 
-#: Words kept by a worker; past it the cache starts anew, so memory is bounded.
-CACHE = 1_000_000
+#: Bytes of words and ids that a cache holds; past it the cache starts anew, so memory is bounded.
+CACHE = 96 << 20
+#: What an entry takes beside the characters and ids themselves, and words encoded as one text.
+_ENTRY, _AT_ONCE = 200, 2000
 _RUN = re.compile(r"\s \s|  ")
 
 
@@ -29,12 +35,42 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.words = Tokenizer.from_file(path), spaced, {}
+        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.clear()
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin a word
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+
+    def clear(self) -> None:
+        self.words: dict[str, bytes] = {}
+        self.size = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """ids of words encoded as one text, which a byte-level tokenizer marks where a word begins."""
+        ids = np.frombuffer(self._ids([" " + " ".join(words)])[0], "<u4")
+        cut = np.flatnonzero(self.opens[ids])
+        if len(cut) != len(words):  # its marks are others
+            return self._ids([" " + w for w in words])
+        data, at = ids.tobytes(), (4 * cut).tolist()
+        return [data[a:b] for a, b in zip(at, [*at[1:], len(data)], strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        if self.spaced:
+            safe = [w for w in new if w and w.isprintable() and "<|" not in w]
+            unsafe = list(set(new).difference(safe)) if len(safe) < len(new) else []
+            ids = self._ids([" " + w for w in unsafe]) if unsafe else []
+            for i in range(0, len(safe), _AT_ONCE):
+                ids += self._joined(safe[i : i + _AT_ONCE])
+            new = unsafe + safe
+        else:
+            ids = self._ids(new)
+        self.words.update(zip(new, ids, strict=True))
+        self.size += sum(map(len, new)) + sum(map(len, ids)) + _ENTRY * len(new)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null and empty texts have no ids."""
         out: list[bytes] = [b""] * len(texts)
@@ -50,18 +86,18 @@ class Encoder:
             else:
                 split.append((i, text.split(" ")))
                 first.append(split[-1][1].pop(0))
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = list(set().union(*[w for _, w in split]).difference(self.words))
+        if self.size > CACHE:
+            self.clear()
+        found = [list(map(self.words.get, words)) for _, words in split]
+        new = dict.fromkeys(w for (_, words), ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None)
         if new:
-            self.words.update(zip(new, self._ids([" " + w for w in new] if self.spaced else new), strict=True))
+            self._learn(list(new))
         if whole:
             for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
                 out[i] = ids
         heads = self._ids(first) if first else [b""] * len(split)
-        look = self.words.__getitem__
-        for (i, words), head in zip(split, heads, strict=True):
-            out[i] = head + b"".join(map(look, words))
+        for (i, words), ids, head in zip(split, found, heads, strict=True):
+            out[i] = head + b"".join(map(self.words.__getitem__, words) if None in ids else ids)
         return out
 
 
@@ -69,7 +105,13 @@ _made: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
+    """This worker's encoder for a vocabulary file; its cache is emptied when a task ends (see forget())."""
     if (path, spaced) not in _made:
         _made[path, spaced] = Encoder(path, spaced)
     return _made[path, spaced]
+
+
+def forget() -> None:
+    """Empty the caches of this worker."""
+    for e in _made.values():
+        e.clear()

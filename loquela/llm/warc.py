@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loquela.llm._shared import in_slices
+from loquela.llm._shared import in_slices, task
 
 #: Skippable frame of a dictionary, and the magic of a dictionary and of a frame.
 SKIPPABLE, DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xEC30A437, 0xFD2FB528
@@ -148,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, level: int = 3
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     rows = roles(pages, least).select("page_id", "url", "payload", "sha1", "first_id")
-    return rows.mapInArrow(run, "path string, records long, bytes long")
+    return rows.mapInArrow(task(run), "path string, records long, bytes long")
 
 
 class ArchiveError(ValueError):
@@ -263,7 +263,7 @@ def read_archives(spark: SparkSession, folder: str, paths: list[str], with_paylo
     if not paths:
         return spark.createDataFrame([], schema)
     files = spark.createDataFrame([(i, p) for i, p in enumerate(sorted(paths))], "i int, path string")
-    return files.repartitionByRange(len(paths), "i").mapInArrow(run, schema)
+    return files.repartitionByRange(len(paths), "i").mapInArrow(task(run), schema)
 
 
 def round_trip(pages: DataFrame, folder: str, least: int = 0, with_payload: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from loquela.llm import queries
+from loquela.llm import queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +34,16 @@ def test_stages_keep_and_drop(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == kept[3]
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    """An id's other text is judged by its own class; repeated rows are one; rows without an id stay."""
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, say(1)), (1, say(2)), (2, say(2) + " more"), (2, say(3)), (3, say(3)), (3, say(3)), (None, say(1)), (None, say(1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS root", "'y' AS one")
+    kept = simhash.keep_one(docs, simhash.similar_documents(docs))
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, say(1)), (0, say(1)), (1, say(1)), (1, say(2)), (2, say(3))])
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_query(spark, name):
     df = queries.QUERIES[name](spark, SF)

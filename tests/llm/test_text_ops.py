@@ -84,11 +84,29 @@ def test_forests_connect_all_links(base, seed):
     assert all(find(i) == find(j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3)
 
 
-def test_probing_links_three_bytes():
-    rng = np.random.default_rng(3)
-    fps = np.unique(rng.integers(0, 1 << 12, 300).astype(np.uint64))
-    got = {tuple(sorted(e)) for e in simhash._forest_by_probes(fps, 3)}
-    assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3}
+@pytest.mark.parametrize("n, bits", [(300, 12), (40, 24), (3000, 13), (1, 5)])
+def test_probing_spans_three_bytes(n, bits):
+    """The table of three varying bytes yields a forest of verified links that connects all of them."""
+    rng = np.random.default_rng(n)
+    fps = np.unique(rng.integers(0, 1 << bits, n).astype(np.uint64)) << np.uint64(5)
+    edges = simhash._forest_by_probes(fps, 3)
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        assert int(fps[i] ^ fps[j]).bit_count() <= 3 and find(i) != find(j)  # no link is one too many
+        root[find(i)] = find(j)
+    want = plain_components({i: int(f) for i, f in enumerate(fps)}) if len(fps) < 1000 else None
+    if want:
+        assert all((find(i) == find(j)) == (want[i] == want[j]) for i in range(len(fps)) for j in range(i))
+    else:
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+        roots = np.array([find(i) for i in range(len(fps))])
+        assert (roots[:, None] == roots[None, :])[near].all()
 
 
 def test_long_lists_are_split(spark, monkeypatch):
