@@ -267,6 +267,8 @@ SAMPLED, RANKED = 10_000, 1 << 18
 SHORT = 64
 #: Parity bits of a set at most: fewer rule out less and lose nothing. Words compared at once.
 WIDEST, AT_ONCE = 4096, 1 << 18
+#: Shingles of a long list's part (8 bytes each): a task compares two parts at a time.
+PART = 1 << 20
 #: Bits of the bitmap that tells which sets the pairs need.
 NEEDED_BITS = 24
 _EPS = 1e-9
@@ -287,13 +289,13 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, m))
 
 
-def parity_bits(h: np.ndarray) -> bytes:
+def parity_bits(h: np.ndarray, finer: int = 1) -> bytes:
     """For each residue of the hashes, whether an odd number has it; a power of two of residues.
 
     Two sets differ in at least as many hashes as their bits differ. Halves of the bits fold
-    by xor into those of half as many residues.
+    by xor into those of half as many residues. Finer bits rule out more.
     """
-    width = min(WIDEST, max(64, 1 << max(0, len(h) - 1).bit_length()))
+    width = finer * min(WIDEST, max(64, 1 << max(0, len(h) - 1).bit_length()))
     counts = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
 
@@ -347,53 +349,43 @@ class _Bounds:
         return found
 
 
-def _list_pairs(key: np.ndarray, bounds: _Bounds, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _list_pairs(key: np.ndarray, bounds: _Bounds) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that may be similar within lists of equal key: all of a short list, a spanning
-    forest of a long one. With roots, all pairs of different roots instead, whatever the list."""
+    forest of a long one."""
     cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(cut)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if root is None:
-        d, at = 1, np.flatnonzero(np.repeat(size <= SHORT, size))
-        while len(at):  # pairs at distance d within short lists, for all lists at once
-            at = at[at + d < len(key)]
-            at = at[key[at] == key[at + d]]
-            near = at[bounds.near(at, at + d)]
-            a.append(near)
-            b.append(near + d)
-            d += 1
-    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if root is not None:
-            for i in range(s, e):
-                j = i + 1 + np.flatnonzero(root[i + 1 : e] != root[i])
-                j = j[bounds.near(np.full(len(j), i), j)]
-                a.append(np.full(len(j), i))
-                b.append(j)
-        elif e - s > SHORT:
-            rest = np.arange(s, e)
-            while len(rest):
-                front, rest = [rest[0]], rest[1:]
-                while front and len(rest):
-                    i = front.pop()
-                    near = bounds.near(np.full(len(rest), i), rest)
-                    a.append(np.full(int(near.sum()), i))
-                    b.append(rest[near])
-                    front += rest[near].tolist()
-                    rest = rest[~near]
+    d, at = 1, np.flatnonzero(np.repeat(size <= SHORT, size))
+    while len(at):  # pairs at distance d within short lists, for all lists at once
+        at = at[at + d < len(key)]
+        at = at[key[at] == key[at + d]]
+        near = at[bounds.near(at, at + d)]
+        a.append(near)
+        b.append(near + d)
+        d += 1
+    for s, e in zip(cut[:-1][size > SHORT].tolist(), cut[1:][size > SHORT].tolist(), strict=True):
+        rest = np.arange(s, e)
+        while len(rest):
+            front, rest = [rest[0]], rest[1:]
+            while front and len(rest):
+                i = front.pop()
+                near = bounds.near(np.full(len(rest), i), rest)
+                a.append(np.full(int(near.sum()), i))
+                b.append(rest[near])
+                front += rest[near].tolist()
+                rest = rest[~near]
     return np.concatenate(a), np.concatenate(b)
 
 
 def _candidates(dealt: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) pairs of nodes, a < b, out of (key, node, n, bits[, root]) rows."""
-    rooted = "root" in dealt.columns
+    """(a, b) pairs of nodes, a < b, out of (key, node, n, bits) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def lists(rows: pa.Table) -> pa.RecordBatch:
             key, node, n = (rows.column(c).to_numpy() for c in ("key", "node", "n"))
-            root = rows.column("root").to_numpy() if rooted else None
-            i, j = _list_pairs(key, _Bounds(n, rows.column("bits").to_pylist(), similarity), root)
+            i, j = _list_pairs(key, _Bounds(n, rows.column("bits").to_pylist(), similarity))
             pairs = np.unique(np.sort(np.array([node[i], node[j]], np.int64), axis=0), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -413,20 +405,26 @@ def _candidates(dealt: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(task(run), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those (a, b) pairs whose sets, from (node, grams), have this Jaccard similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _grams_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, grams) of some nodes, once each, from (node, grams)."""
+    nodes = nodes.select("node").distinct()
     cell = F.shiftrightunsigned(F.xxhash64("node"), 64 - NEEDED_BITS)
     words = nodes.groupBy(F.shiftright(cell, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(node), {64 - NEEDED_BITS}) & 63 AS int))")).alias("v")).toArrow()
     bitmap = np.zeros(1 << NEEDED_BITS - 6, np.int64)  # of fixed size: other sets don't travel
     bitmap[words.column("w").to_numpy()] = words.column("v").to_numpy()
-    shared = pairs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    shared = nodes.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.column("cell").to_numpy()
             yield batch.filter(pa.array((shared.value[c >> 6] >> (c & 63).astype(np.uint64) & np.uint64(1)).astype(bool))).select(["node", "grams"])
 
+    return sets.select("node", "grams", cell.alias("cell")).mapInArrow(task(needed), "node long, grams binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those (a, b) pairs whose sets, from (node, grams), have this Jaccard similarity."""
+
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -437,11 +435,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep.append(common >= similarity * (len(both) - common) - _EPS)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = sets.select("node", "grams", cell.alias("cell")).mapInArrow(task(needed), "node long, grams binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    some = _grams_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), sets)
     joined = pairs.join(some.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(task(same), "a long, b long")
 
 
+def list_links(key: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """(a, b) nodes of one list whose sets are this similar, enough to join what is one class.
+
+    Only pairs of different roots are looked at, and of those that met none of the same part
+    (own), where there are two. Where a set has the key in its order bounds what it can share
+    with another, if the key is the first they share; then sizes and parity bits, then the sets.
+    """
+    n = np.array([len(h) for h in sets], np.int64)
+    at = np.array([int(np.flatnonzero(prefix(h, *order, similarity) == np.uint64(key))[0]) for h in sets])
+    bounds = _Bounds(n, [parity_bits(h, 8) for h in sets], similarity)
+    value, letter = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(n) - n
+    label = np.unique(root, return_inverse=True)[1]
+    two, mark, found = len(np.unique(own)) > 1, np.zeros(len(value), bool), []
+    for i in range(len(sets)):
+        j = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & ((own[i + 1 :] != own[i]) | (not two)))
+        least = similarity / (1 + similarity) * (n[i] + n[j]) - _EPS
+        j = j[np.minimum(n[i] - at[i], n[j] - at[j]) >= least]
+        if len(j):
+            j = j[bounds.near(np.full(len(j), i), j)]
+        if not len(j):
+            continue
+        mark[letter[begin[i] : begin[i] + n[i]]] = True
+        first = np.cumsum(n[j]) - n[j]
+        common = np.add.reduceat(mark[letter[np.repeat(begin[j] - first, n[j]) + np.arange(int(n[j].sum()))]].astype(np.int64), first)
+        mark[letter[begin[i] : begin[i] + n[i]]] = False
+        for k in j[common >= similarity * (n[i] + n[j] - common) - _EPS].tolist():
+            if label[k] != label[i]:
+                found.append((int(node[i]), int(node[k])))
+                label[label == label[k]] = label[i]
+    return found
+
+
+def _in_lists(rows: DataFrame, ranks, similarity: float) -> DataFrame:
+    """(a, b) links of list_links() for (key, own, low, high, node, root, grams) rows: a task holds one pair of parts of a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def settle() -> pa.RecordBatch:
+            _, own, node, root, grams = zip(*held, strict=True)
+            links = list_links(held[0][0][0] & 0xFFFFFFFFFFFFFFFF, np.array(own), np.array(node), np.array(root), [np.frombuffer(g, np.uint64) for g in grams], ranks.value, similarity)
+            held.clear()
+            pairs = np.array(links, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=1 << 62)), pa.array(pairs.max(axis=1, initial=-1 << 62))], ["a", "b"])
+
+        for batch in batches:
+            for key, low, high, own, node, root, grams in zip(*[batch.column(c).to_pylist() for c in ("key", "low", "high", "own", "node", "root", "grams")], strict=True):
+                if held and held[0][0] != (key, low, high):
+                    yield settle()
+                held.append(((key, low, high), own, node, root, grams))
+        if held:
+            yield settle()
+
+    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "node")
+    return dealt.mapInArrow(task(run), "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, root, component_id): classes of texts whose word-shingle sets have this Jaccard similarity.
 
@@ -449,8 +505,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one order of all shingles, sets this similar share one of their first: these are posted,
     rare shingles first by a sample's counts, which changes the lists' lengths and not what is
     found. In a list, sizes and parity bits rule out pairs without loss, and what is left is
-    verified on the sets. A long list gives a spanning forest of possible pairs first; when
-    these are verified, all possible pairs that they left in different classes are.
+    verified on the sets. A long list gives a spanning forest of possible pairs first; where
+    these, verified, leave it in several classes, its sets are compared across the classes in
+    the list's own tasks, two bounded parts of it at a time, and only links come out.
     Equal sets are one node, named by a 64-bit hash. root names the class, text_hash the row's
     text, for ids that several texts share. component_id is the smallest id reachable; nulls and
     repeats are as in near_duplicates().
@@ -517,7 +574,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if long.first():
         rooted = met.join(long, "key", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        more = _verified(written(_candidates(rooted.join(mixed, "key", "left_semi").join(bits, "node"), similarity)), sets, similarity)
+        rows = written(rooted.join(mixed, "key", "left_semi").join(bits.select("node", "n"), "node"))
+        parts = rows.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(PART)).cast("int").alias("parts"))
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        rows = rows.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).join(_grams_of(rows, sets), "node")
+        more = _in_lists(rows, ranks, similarity)
         roots = components(written(links.unionByName(more)))
     named = fps.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
     named = named.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
