@@ -2,16 +2,21 @@
 
 A string of LENGTH bytes that starts earlier somewhere is found in three steps. Every window of
 that length is dealt by the least hash of the grams inside it, so equal windows meet, and runs
-of windows with one such gram travel as one segment. Equal segments are settled at once: the
-first stays, the others are repeats. Of the rest only segments whose gram occurs in another
-segment go on, as bytes, to shards. A shard builds the suffix array of its segments by induced
-sorting, permuted common prefixes tell which neighbours share a window, and in every group of
-equal windows all but the first are repeats.
+of windows with one such gram travel as one segment. Copies of a whole segment are told by a
+128-bit BLAKE2 digest and its gram: the first stays, the others are repeats. Of the rest only
+segments whose gram occurs in another segment go on, as bytes, to shards. A shard builds the
+suffix array of its segments by induced sorting, permuted common prefixes tell which neighbours
+share a window, and in every group of equal windows all but the first are repeats.
+
+A gram with more contexts than a shard holds is split by its neighbours' bytes: a window goes on
+under the gram and half of its other bytes, those on the gram's longer side, which equal windows
+have in common too; and so on, until every key fits or fixes the whole window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +29,11 @@ from pyspark.sql.window import Window
 from loquela.llm._shared import in_slices, task, written
 
 LENGTH, GRAM = 100, 24
-#: Segments a task settles among themselves at once, bytes hashed at once, bytes of a shard.
-HELD, CHUNK, SHARD = 2_000_000, 1 << 18, 1 << 20
-#: Alphabets over this are ranked by doubling, where a step for each letter would not pay.
-LETTERS = 4096
+#: Segments a task settles among themselves at once, bytes hashed at once, bytes of a shard, and
+#: bytes of one gram's segments that are split further.
+HELD, CHUNK, SHARD, HOT = 2_000_000, 1 << 18, 1 << 20, 4 << 20
+#: Letters of an alphabet at most: names over this are written as several letters.
+LETTERS = 1024
 
 
 # Induced sorting
@@ -65,7 +71,8 @@ def _induce(x: np.ndarray, s_type: np.ndarray, lms: np.ndarray, heads: np.ndarra
     place(lms[::-1], first_lms, -1)
     free = heads.copy()
     place(np.array([n - 1]), free, 1)
-    for c in range(letters):
+    used = np.flatnonzero(heads <= tails).tolist()
+    for c in used:
         at = heads[c]
         while at < free[c]:
             j = out[at : free[c]] - 1
@@ -76,7 +83,7 @@ def _induce(x: np.ndarray, s_type: np.ndarray, lms: np.ndarray, heads: np.ndarra
         if first_lms[c] < tails[c]:  # their predecessors are of the larger type and of later letters
             place(out[first_lms[c] + 1 : tails[c] + 1] - 1, free, 1)
     free_s = tails.copy()
-    for c in range(letters - 1, -1, -1):
+    for c in reversed(used):
         at = tails[c]
         while at > free_s[c]:
             j = out[free_s[c] + 1 : at + 1][::-1] - 1
@@ -92,26 +99,25 @@ def _induce(x: np.ndarray, s_type: np.ndarray, lms: np.ndarray, heads: np.ndarra
     return out
 
 
-def _by_doubling(x: np.ndarray) -> np.ndarray:
-    rank, step, n = x.astype(np.int64), 1, len(x)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[:-step] = rank[step:] + 1
-        order = np.lexsort((second, rank))
-        new = np.cumsum(np.concatenate([[0], (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])]))
-        rank[order] = new
-        step *= 2
-        if new[-1] == n - 1 or step >= n:
-            return order
-
-
 def suffix_array(x: np.ndarray, letters: int = 256) -> np.ndarray:
-    """The suffix array of an array of letters below `letters`; a suffix's end is least."""
+    """The suffix array of an array of letters below `letters`; a suffix's end is least.
+
+    Induced sorting takes a step for each letter. A large alphabet, such as the names of a
+    lower level, is therefore written in digits of one width: that keeps the order of suffixes,
+    and those that begin at a name's first digit are the ones in question.
+    """
     n = len(x)
     if n < 2:
         return np.arange(n)
-    if letters > LETTERS:
-        return _by_doubling(x)
+    width = 1
+    while letters > LETTERS**width:
+        width += 1
+    if width > 1:
+        base = math.ceil(letters ** (1 / width))
+        base += base**width < letters
+        digits = np.stack([x // base**k % base for k in reversed(range(width))], axis=1).ravel()
+        order = suffix_array(digits, base)
+        return order[order % width == 0] // width
     s_type = _types(x)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     count = np.bincount(x, minlength=letters)
@@ -251,13 +257,27 @@ def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(counts)
 
 
-_FIELDS = ["h", "s", "doc_id", "ord", "start", "n", "again"]
-_ROW = "h long, s long, doc_id long, ord int, start long, n int, again boolean"
+_KEYS = ["h", "s", "s2", "doc_id", "ord", "start"]
+_ROW = "h long, s long, s2 long, doc_id long, ord int, start long, n int, again boolean"
+_SEGMENT = "h long, s long, s2 long, doc_id long, ord int, start long, n int, again boolean, lo int, hi int, segment binary"
+_SPAN = "doc_id long, ord int, start long, n int"
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], [n for n, _ in names])
+
+
+def _digests(parts: list) -> np.ndarray:
+    """[parts, 2] halves of the parts' 128-bit digests."""
+    make = hashlib.blake2b
+    return np.frombuffer(b"".join([make(x, digest_size=16).digest() for x in parts]), np.int64).reshape(-1, 2)
 
 
-def _table(h, s, doc, ord_, start, n, again) -> pa.RecordBatch:
-    arrays = [h.view(np.int64), s.view(np.int64), doc, ord_.astype(np.int32), start.astype(np.int64), n.astype(np.int32), again]
-    return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], _FIELDS)
+def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Keys that deal rows which meet nothing any more anywhere."""
+    return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ start.astype(np.uint64)).view(np.int64)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +286,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
 
     def settle() -> pa.RecordBatch:
-        h, s, doc, ord_, start, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        h, s, s2, doc, ord_, start, n = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((start, ord_, doc, s, h))
-        h, s, doc, ord_, start, n = (c[order] for c in (h, s, doc, ord_, start, n))
-        again = np.concatenate([[False], (h[1:] == h[:-1]) & (s[1:] == s[:-1])])
-        h[again] = (doc[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ start[again].astype(np.uint64)
-        return _table(h, s, doc, ord_, start, n, again)
+        order = np.lexsort((start, ord_, doc, s2, s, h))
+        h, s, s2, doc, ord_, start, n = (c[order] for c in (h, s, s2, doc, ord_, start, n))
+        again = np.concatenate([[False], (h[1:] == h[:-1]) & (s[1:] == s[:-1]) & (s2[1:] == s2[:-1])])
+        h[again] = _spread(doc[again], start[again])
+        return _batch(_ROW, [h, s, s2, doc, ord_, start, n, again])
 
     for batch in in_slices(batches, "text"):
         for doc, ord_, text in zip(batch.column("doc_id").to_pylist(), batch.column("ord").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -280,9 +300,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(raw) < LENGTH:
                 continue
             h, start, n = runs(raw)
-            view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
-            s = np.array([digest(view[a:b]) for a, b in zip(start.tolist(), (start + n + (LENGTH - 1)).tolist(), strict=True)], np.uint64)
-            held.append((h, s, np.full(len(h), doc, np.int64), np.full(len(h), ord_, np.int32), start, n))
+            view = memoryview(raw)
+            s = _digests([view[a:b] for a, b in zip(start.tolist(), (start + n + (LENGTH - 1)).tolist(), strict=True)])
+            held.append((h.view(np.int64), s[:, 0], s[:, 1], np.full(len(h), doc, np.int64), np.full(len(h), ord_, np.int32), start, n))
         if sum(len(c[0]) for c in held) > HELD:
             yield settle()
     if held:
@@ -290,31 +310,62 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, s, doc_id, ord, start): mark repeats, keep what has another segment to meet.
+    """Rows sorted by their keys: mark repeats, keep what has another segment to meet.
 
     Of a gram that goes on in the next batch two rows are carried over, its first and its last:
     they tell whether another segment was met and whether the next row repeats one.
     """
-    rest: list[np.ndarray] | None = None
+    rest: pa.RecordBatch | None = None
+    before = np.zeros(0, bool)
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in _FIELDS]
-        sent = np.zeros(len(now[0]), bool)
+        sent = np.concatenate([before, np.zeros(batch.num_rows, bool)])
         if rest is not None:
-            sent = np.concatenate([rest[-1], sent])
-            now = [np.concatenate(x) for x in zip(rest[:-1], now, strict=True)]
-        h, s, doc, ord_, start, n, again = now
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        h, s, s2 = (batch.column(c).to_numpy() for c in _KEYS[:3])
+        again = batch.column("again").to_numpy(zero_copy_only=False)
         same_h = (h[1:] == h[:-1]) & ~again[1:] & ~again[:-1]
-        copy = np.concatenate([[False], same_h & (s[1:] == s[:-1])])
+        copy = np.concatenate([[False], same_h & (s[1:] == s[:-1]) & (s2[1:] == s2[:-1])])
         group = np.cumsum(np.concatenate([[True], ~same_h])) - 1
         kinds = np.bincount(group, weights=~again & ~copy)
         keep = again | copy | (kinds[group] > 1)
         out = keep & ~sent
         if out.any():
-            yield _table(h[out], s[out], doc[out], ord_[out], start[out], n[out], (again | copy)[out])
+            columns = [pa.array(again | copy) if name == "again" else batch.column(name) for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(out))
         ends = np.unique([np.searchsorted(group, group[-1]), len(h) - 1])
-        rest = [x[ends] for x in (*now, keep | sent)]
+        rest, before = batch.take(pa.array(ends)), (keep | sent)[ends]
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments under longer keys: their gram, then half of each window's other bytes on its longer side.
+
+    All windows of a segment hold the bytes from lo to hi, which its key tells. Of the others a
+    window has as many to the right as to the left, or more on one side; its windows so make
+    one part or two, each with more bytes in common.
+    """
+    for batch in batches:
+        rows: list[tuple] = []
+        for h, doc, ord_, start, n, lo, hi, segment in zip(*[batch.column(c).to_pylist() for c in ("h", "doc_id", "ord", "start", "n", "lo", "hi", "segment")], strict=True):
+            rest = LENGTH - (hi - lo)
+            right = (rest + 1) // 2
+            cut = min(max(hi + right - LENGTH, 0), n)  # windows from here on have that many bytes to the right
+            for first, end, a, b in ((cut, n, lo, hi + right), (0, cut, lo - rest // 2 - 1, hi)):
+                if first < end:
+                    part = segment[first : end + LENGTH - 1]
+                    key = xxhash.xxh3_64_intdigest(segment[a:b], seed=(h ^ (a < lo)) & 0xFFFFFFFFFFFFFFFF)
+                    rows.append((key - (1 << 63), doc, ord_, start + first, end - first, a - first, b - first, part))
+        if rows:
+            h, doc, ord_, start, n, lo, hi, part = zip(*rows, strict=True)
+            s = _digests(list(part))
+            h, doc_, ord__, start_ = np.array(h, np.int64), np.array(doc, np.int64), np.array(ord_), np.array(start, np.int64)
+            order = np.lexsort((start_, ord__, doc_, s[:, 1], s[:, 0], h))
+            same = (h[order[1:]] == h[order[:-1]]) & (s[order[1:]] == s[order[:-1]]).all(axis=1)
+            again = np.zeros(len(h), bool)
+            again[order[1:][same]] = True
+            h[again] = _spread(doc_[again], start_[again])
+            yield _batch(_SEGMENT, [h, s[:, 0], s[:, 1], doc, ord_, start, n, again, lo, hi, [b"" if x else y for x, y in zip(again.tolist(), part, strict=True)]])
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,9 +379,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(held[i][1], held[i][2], held[i][3] + a, b - a + 1) for i, a, b in found]
         held.clear()
         size = 0
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "ord", "start", "n"])
+        return _batch(_SPAN, list(zip(*rows, strict=True)) or [()] * 4)
 
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in ("h", "doc_id", "ord", "start", "n", "segment")], strict=True):
@@ -343,14 +392,22 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted segments' bytes, and where their gram lies in them."""
     for batch in in_slices(batches, "text"):
-        rows = []
+        rows: list[tuple] = []
         for doc, ord_, text, wanted in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ord", "text", "wanted")], strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            rows += [(w["h"], doc, ord_, w["start"], w["n"], raw[w["start"] : w["start"] + w["n"] + LENGTH - 1]) for w in wanted]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "doc_id", "ord", "start", "n", "segment"])
+            for w in wanted:
+                segment = raw[w["start"] : w["start"] + w["n"] + LENGTH - 1]
+                rows.append((w["h"], 0, 0, doc, ord_, w["start"], w["n"], False, 0, 0, segment))
+        if not rows:
+            continue
+        whole = np.frombuffer(b"".join([r[10] for r in rows]), np.uint8)
+        at = np.cumsum([0] + [len(r[10]) for r in rows])
+        match = np.flatnonzero(_mixed(whole).view(np.int64) == np.repeat([r[0] for r in rows], np.diff(at))[: len(whole) - GRAM + 1])
+        lo = match[np.searchsorted(match, at[:-1])] - at[:-1]  # the leftmost one, which the first window holds
+        columns = list(zip(*rows, strict=True))
+        yield _batch(_SEGMENT, [*columns[:8], lo, lo + GRAM, columns[10]])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -387,9 +444,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     A byte is removed if a LENGTH-byte string over it starts earlier too: in a document of
     smaller id, or earlier in the same one. Strings don't cross documents and are judged on the
     input. Null is the empty text. Several rows of one id (a null id comes before all) count as
-    documents in the order of their texts. Equal segments are told by two 64-bit hashes. Copies within a
-    task are settled there, so a passage that a third of all documents hold sends one row for
-    each task and not one for each document.
+    documents in the order of their texts. Copies within a task are settled there, so a passage
+    that a third of all documents hold sends one row for each task and not one for each
+    document; a gram in very many contexts is split until its parts fit a shard.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     several = rows.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count() > 0
@@ -400,12 +457,27 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("ord", F.lit(0))
     least = -(1 << 63)
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(least)))
-    found = rows.mapInArrow(task(_segments), _ROW).repartition("h").sortWithinPartitions("h", "s", "doc_id", "ord", "start").mapInArrow(task(_meet), _ROW)
-    met = written(found)
+    met = written(rows.mapInArrow(task(_segments), _ROW).repartition("h").sortWithinPartitions(*_KEYS).mapInArrow(task(_meet), _ROW))
     wanted = met.filter("NOT again").groupBy("doc_id", "ord").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
-    segments = rows.join(wanted, ["doc_id", "ord"]).mapInArrow(task(_cut_out), "h long, doc_id long, ord int, start long, n int, segment binary")
-    dealt = segments.repartition("h").sortWithinPartitions("h", "doc_id", "ord", "start")
-    again = dealt.mapInArrow(task(_shards), "doc_id long, ord int, start long, n int").unionByName(met.filter("again").select("doc_id", "ord", "start", "n"))
+    live = written(rows.join(wanted, ["doc_id", "ord"]).mapInArrow(task(_cut_out), _SEGMENT))
+    again, shards = [met.filter("again")], []
+    while True:
+        hot = written(live.groupBy("h").agg(F.sum(F.length("segment")).alias("size")).filter(F.col("size") > HOT).select("h"))
+        if hot.first() is None:
+            shards.append(live)
+            break
+        shards.append(live.join(hot, "h", "left_anti"))
+        parts = live.join(hot, "h", "left_semi").mapInArrow(task(_split), _SEGMENT).repartition("h").sortWithinPartitions(*_KEYS).mapInArrow(task(_meet), _SEGMENT)
+        parts = written(parts)
+        again.append(parts.filter("again"))
+        live = parts.filter("NOT again")
+    found = [x.select("doc_id", "ord", "start", "n") for x in again]
+    for x in shards:
+        dealt = x.select("h", "doc_id", "ord", "start", "n", "segment").repartition("h").sortWithinPartitions("h", "doc_id", "ord", "start")
+        found.append(dealt.mapInArrow(task(_shards), _SPAN))
+    again = found[0]
+    for x in found[1:]:
+        again = again.unionByName(x)
     by_doc = written(again.groupBy("doc_id", "ord").agg(F.collect_list(F.struct("start", "n")).alias("found")))
     out = rows.join(by_doc, ["doc_id", "ord"], "left").select("doc_id", "text", "found")
     done = out.mapInArrow(task(_finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
