@@ -1,14 +1,17 @@
-"""Format-preserving pseudonyms for personal numbers, dates and addresses.
+"""Format-preserving pseudonyms for personal numbers, dates, addresses and keys.
 
 Values are found by pattern, validated (check digits, calendar, ranges) and put through a keyed
 Feistel permutation of their own format's domain, so a pseudonym is again a valid value of the
 format, equal values stay equal in every document, and whoever has the key can turn them back.
-Values that fail validation are left alone.
+The domain follows from the value and not from its spelling: a telephone number, card, date or
+address gets one pseudonym however it is spaced, punctuated or cased. Values that fail
+validation are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
@@ -26,8 +29,11 @@ _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 _PATTERN = re.compile(
     r"""
       (?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-]))
+    | (?P<vendor>(?<![0-9A-Za-z_-])(?:AKIA|ASIA|gh[opsur]_|[sr]k_(?:live|test)_|sk-(?:proj-|ant-)?|xox[abprs]-|AIza|glpat-|npm_)[0-9A-Za-z_-]{16,}(?![0-9A-Za-z_-]))
+    | (?P<token>(?<![0-9A-Za-z_.-])eyJ[0-9A-Za-z_-]{5,}\.[0-9A-Za-z_-]{5,}\.[0-9A-Za-z_-]{5,}(?![0-9A-Za-z_-]))
     | (?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![0-9A-Za-z]))
     | (?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\ ?[0-9A-Z]{4}){2,7}(?:\ ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))
+    | (?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\w))
     | (?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))
     | (?P<iso>(?<![\d/.-])\d{4}(?P<m1>[-/.])\d{2}(?P=m1)\d{2}(?![\d]|[-/.]\d))
     | (?P<dmy>(?<![\d/.-])\d{1,2}(?P<m2>[-/.])\d{1,2}(?P=m2)\d{4}(?![\d]|[-/.]\d))
@@ -38,7 +44,9 @@ _PATTERN = re.compile(
     """,
     re.VERBOSE,
 )
-_ANY, _WORD = re.compile(r"[0-9@]"), re.compile(r"[0-9A-Za-z]+")
+_ANY, _WORD = re.compile(r"[0-9@]|AKIA|ASIA|gh[opsur]_|[sr]k_|sk-|xox|AIza|eyJ|glpat|npm_"), re.compile(r"[0-9A-Za-z]+")
+# Calling codes of one and two digits; all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 class Permuter:
@@ -49,7 +57,10 @@ class Permuter:
 
     def _round(self, kind: str, n: int, i: int, half: int) -> int:
         data = f"{kind}|{n}|{i}|{half}".encode()
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=32).digest(), "big")
+        size = (n.bit_length() + 15) // 16 + 1  # bytes that cover half of the range's bits
+        if size <= 64:
+            return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=64).digest(), "big")
+        return int.from_bytes(hashlib.shake_256(self.key + data).digest(size), "big")
 
     def permute(self, kind: str, n: int, x: int, back: bool = False) -> int:
         """Of 0 <= x < n, the image (or, back, the origin): a Feistel network on the next even
@@ -190,25 +201,77 @@ def _ssn(p: Permuter, text: str, back: bool) -> str | None:
     return f"{areas[area_at]:03d}-{group_at + 1:02d}-{serial_at + 1:04d}"
 
 
+def _national(p: Permuter, code: str, rest: str, back: bool) -> str:
+    """The digits after a calling code; under code 1 area and exchange begin with 2 to 9 if they did."""
+    n, x, bases = 1, 0, []
+    for i, ch in enumerate(rest):
+        first, count = ((2, 8) if ch >= "2" else (0, 2)) if code == "1" and len(rest) == 10 and i in (0, 3) else (0, 10)
+        bases.append((first, count))
+        n, x = n * count, x * count + int(ch) - first
+    x, out = p.permute(f"phone{code}:{[b for b in bases if b != (0, 10)]}", n, x, back), []
+    for first, count in reversed(bases):
+        x, r = divmod(x, count)
+        out.append(str(first + r))
+    return "".join(reversed(out))
+
+
 def _phone(p: Permuter, text: str, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", text)
+    shape = text.replace("(0)", "(\0)")  # the trunk prefix is no part of the number
+    digits = re.sub(r"\D", "", shape)
     if not 8 <= len(digits) <= 15 or digits[0] == "0":
         return None
-    code = re.match(r"\+(\d{1,3})(?=\D)", text)
-    keep = len(code[1]) if code else 1
-    rest = digits[keep:]
-    new = str(p.permute(f"phone{digits[:keep]}", 10 ** len(rest), int(rest), back)).zfill(len(rest))
-    return _refill(text, digits[:keep] + new)
+    code = next((digits[:k] for k in (1, 2) if digits[:k] in _CODES), digits[:3])
+    return _refill(shape, code + _national(p, code, digits[len(code) :], back)).replace("\0", "0")
 
 
 def _local(p: Permuter, text: str, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", text)
-    return _refill(text, str(p.permute("phone", 10**10, int(digits), back)).zfill(10))
+    """Ten digits are the number that +1 stands before elsewhere."""
+    return _refill(text, _national(p, "1", re.sub(r"\D", "", text), back))
 
 
 def _email(p: Permuter, text: str, back: bool) -> str | None:
     name, at, host = text.rpartition("@")
-    return p.letters("email", name, back) + at + host
+    new = p.letters("email", name.lower(), back)
+    return "".join(y.upper() if x.isupper() else y for x, y in zip(name, new, strict=True)) + at + host
+
+
+def _ip6(p: Permuter, text: str, back: bool) -> str | None:
+    """Groups keep their number of hexadecimal digits (zero groups stay), so every spelling keeps its form."""
+    try:
+        value = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    if int(value) < 2 or not any(c.isdigit() for c in text):
+        return None
+    groups = [int(g, 16) for g in value.exploded.split(":")]
+    bases = [(0, 1) if g == 0 else (16 ** (len(f"{g:x}") - 1), 15 * 16 ** (len(f"{g:x}") - 1)) for g in groups]
+    n, x = 1, 0
+    for g, (first, count) in zip(groups, bases, strict=True):
+        n, x = n * count, x * count + g - first
+    x, new = p.permute(f"ip6{bases}", n, x, back), []
+    for first, count in reversed(bases):
+        x, r = divmod(x, count)
+        new.append(first + r)
+    new.reverse()
+    left = text.partition("::")[0].split(":") if "::" in text else text.split(":")
+    given, out = text.split(":"), []
+    for i, g in enumerate(given):
+        at = i if i < len(left) else 8 - (len(given) - i)
+        out.append(f"{new[at]:0{len(g)}x}" if g else g)
+    found = ":".join(out)
+    return found.upper() if text == text.upper() else found
+
+
+def _vendor(p: Permuter, text: str, back: bool) -> str | None:
+    """A service's key: the prefix that names the service stays."""
+    head = re.match(r"[A-Za-z]+(?:_(?:live|test)_|-(?:proj-|ant-)?|_)|AKIA|ASIA|AIza", text)[0] if text[:4] not in ("AKIA", "ASIA", "AIza") else text[:4]
+    return head + p.letters(f"vendor{head}", text[len(head) :], back)
+
+
+def _token(p: Permuter, text: str, back: bool) -> str | None:
+    """A signed web token: its header stays, payload and signature keep their alphabet."""
+    head, _, rest = text.partition(".")
+    return f"{head}.{p.letters('token', rest, back)}"
 
 
 def _secret(p: Permuter, text: str, back: bool) -> str | None:
@@ -219,7 +282,7 @@ def _secret(p: Permuter, text: str, back: bool) -> str | None:
 
 
 KINDS: dict[str, Callable[[Permuter, str, bool], str | None]] = {
-    "email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "iso": _iso, "dmy": _dmy, "ssn": _ssn, "phone": _phone, "local": _local, "card": _card,
+    "email": _email, "vendor": _vendor, "token": _token, "secret": _secret, "ip6": _ip6, "iban": _iban, "ip": _ip, "iso": _iso, "dmy": _dmy, "ssn": _ssn, "phone": _phone, "local": _local, "card": _card,
 }
 
 
@@ -247,10 +310,13 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     """The rows of `docs` with `text_col` pseudonymised and `pii_spans` (start, end, kind) added.
 
     A map over partitions: no shuffle, no state. Null and empty texts stay as they are, with no
-    spans. All other columns stay. `pii_spans` replaces a column of that name. Very long texts
-    are processed whole.
+    spans. All other columns stay; where one is named `pii_spans`, the new one gets underscores
+    behind its name until it is free. Very long texts are processed whole. A text's length
+    doesn't change.
     """
-    names = [c for c in docs.columns if c != "pii_spans"]
+    names, added = list(docs.columns), "pii_spans"
+    while added in names:
+        added += "_"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +328,8 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
                 texts.append(new)
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
             columns = [pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, span)], [*names, "pii_spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, span)], [*names, added])
 
     rows = docs.select(*[F.col(f"`{n}`").cast("string").alias(n) if n == text_col else F.col(f"`{n}`") for n in names])
     kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes)
-    return rows.mapInArrow(task(run), f"{kinds}, pii_spans array<struct<start:int,end:int,kind:string>>")
+    return rows.mapInArrow(task(run), f"{kinds}, {added} array<struct<start:int,end:int,kind:string>>")
