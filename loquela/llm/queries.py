@@ -123,6 +123,13 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "declared", "kept")
 
 
+@_query
+def pages_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over pages: declared markup language, address suffix and host."""
+    found = langid.identify_pages(_table(spark, sf_dir, "pages"))
+    return found.select(F.col("doc_id").alias("page_id"), "language", F.round("confidence", 6).alias("confidence"), "declared", "kept")
+
+
 @_query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
