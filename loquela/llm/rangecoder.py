@@ -8,9 +8,10 @@ Every block starts from an empty model, so blocks decode alone; the coder steps
 blocks at once, one id of each block a step, with array operations. The order-0 model counts
 groups of sixteen neighbouring ids, so the state of all lanes stays within a processor's cache.
 
-A file is the magic, a JSON header (length-prefixed, with a checksum), then the blocks, each
-preceded by its id count, payload bytes and the CRC-32 of its ids. The header lists the
-documents with their lengths, so a reader can map ids to documents.
+A file is a row of sections. A section is the magic, a JSON header (length-prefixed, with a
+checksum), then the blocks, each preceded by its id count, payload bytes and the CRC-32 of its
+ids. The header lists the section's documents with their lengths, so a reader can map ids to
+documents; neither writer nor reader holds more than a section (a document is never divided).
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import numpy as np
 MAGIC = b"LQTOKEN1"
 #: Ids in a block, and blocks coded side by side.
 BLOCK, LANES = 4096, 1024
+#: Ids after which a section ends.
+SECTION = BLOCK * LANES
 TOP, LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _ONE1, _ONE2 = 1 << 10, 1 << 12  # slots of the order-1 and order-2 tables
 STEP0, STEPW = 8, 12  # what one observation adds to a count
@@ -218,10 +221,16 @@ def _block_sizes(n: int) -> list[int]:
     return [BLOCK] * (n // BLOCK) + ([n % BLOCK] if n % BLOCK else [])
 
 
-def encode_file(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> Iterator[bytes]:
-    """The pieces of a file that holds the ids (uint32) of some documents."""
+def checked(ids: np.ndarray) -> np.ndarray:
+    """The ids in 16 bits, of which the format's ids are."""
     if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError("ids over 65,535 are not supported by this format")
+    return ids.astype(np.uint16)
+
+
+def encode_section(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> Iterator[bytes]:
+    """The pieces of a section that holds the ids of some documents."""
+    ids = checked(ids)
     head = zlib.compress(json.dumps({"docs": doc_ids, "lengths": lengths}).encode())
     yield MAGIC + struct.pack("<QII", len(ids), len(head), zlib.crc32(head)) + head
     sizes = _block_sizes(len(ids))
@@ -240,10 +249,20 @@ def _exactly(f, n: int) -> bytes:
     return data
 
 
-def decode_file(f) -> tuple[list[int | None], list[int], Iterator[np.ndarray]]:
-    """(doc_ids, lengths, chunks of ids) of a file object; raises ValueError where it is damaged."""
-    if _exactly(f, 8) != MAGIC:
-        raise ValueError("not a token file")
+def sections(f) -> Iterator[tuple[list[int | None], list[int], Iterator[np.ndarray]]]:
+    """(doc_ids, lengths, chunks of ids) of each section of a file object; a section's chunks are
+    read before the next one. Raises ValueError where the file is damaged or empty."""
+    magic = f.read(8)
+    while True:
+        if magic != MAGIC:
+            raise ValueError("not a token file")
+        yield _section(f)
+        magic = f.read(8)
+        if not magic:
+            return
+
+
+def _section(f) -> tuple[list[int | None], list[int], Iterator[np.ndarray]]:
     total, size, crc = struct.unpack("<QII", _exactly(f, 16))
     head = _exactly(f, size)
     if zlib.crc32(head) != crc:

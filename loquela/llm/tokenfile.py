@@ -22,7 +22,8 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2)
     """Write every document's ids (and the end id) under `folder`, a URI that executors share.
 
     One file for each range of doc_id, in ascending order; rows of equal id follow each other
-    by text, a null id comes first. Null and empty texts are the end id alone. A task writes a
+    by text, a null id comes first. Null and empty texts are the end id alone. A file is written
+    in sections, so a task holds one and not the file; ids over 65,535 raise ValueError. A task writes a
     file of its own name, and only files of tasks that ended well are listed, so a lost
     executor leaves nothing that is read. Returns one row for each file: (part, path, n_docs,
     n_ids, n_bytes).
@@ -31,21 +32,33 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary, spaced=False).encode, np.array([end_id], "<u4").tobytes()
         doc_ids, lengths, ids = [], [], []
+        part, file, size, n_docs, n_ids = TaskContext.get().partitionId(), None, 0, 0, 0
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        path = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.ltk"
+
+        def put() -> None:
+            """Write what is held as a section of the file."""
+            nonlocal file, size, n_docs, n_ids
+            file = file or fs.open_output_stream(path)
+            for piece in rangecoder.encode_section(np.concatenate(ids), doc_ids, lengths):
+                size += file.write(piece) or 0
+            n_docs, n_ids = n_docs + len(doc_ids), n_ids + sum(lengths)
+            for held in (doc_ids, lengths, ids):
+                held.clear()
+
         for batch in in_slices(batches, "text"):
             doc_ids += batch.column("doc_id").to_pylist()
             for x in encode(batch.column("text").to_pylist()):
-                ids.append(np.frombuffer(x + end, "<u4").astype(np.uint16))
+                ids.append(rangecoder.checked(np.frombuffer(x + end, "<u4")))
                 lengths.append(len(ids[-1]))
-        if not doc_ids:
+            if sum(lengths) >= rangecoder.SECTION:
+                put()
+        if doc_ids:
+            put()
+        if file is None:
             return
-        part = TaskContext.get().partitionId()
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        path = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.ltk"
-        size = 0
-        with fs.open_output_stream(path) as f:
-            for piece in rangecoder.encode_file(np.concatenate(ids), doc_ids, lengths):
-                size += f.write(piece) or 0
-        row = {"part": [part], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [sum(lengths)], "n_bytes": [size]}
+        file.close()
+        row = {"part": [part], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [size]}
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -68,19 +81,19 @@ def read_files(spark: SparkSession, folder: str, listing: list[tuple[int, str, i
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with fs.open_input_stream(path) as f:
-                    doc_ids, lengths, chunks = rangecoder.decode_file(f)
-                    rows, rest = [], np.zeros(0, "<u4")
-                    for doc, n in zip(doc_ids, lengths, strict=True):
-                        while len(rest) < n:
-                            rest = np.concatenate([rest, next(chunks)])
-                        own, rest = rest[:n], rest[n:]
-                        rows.append((doc, start, n, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if with_ids else ())))
-                        start += n
-                        if len(rows) == 4096:
+                    for doc_ids, lengths, chunks in rangecoder.sections(f):
+                        rows, rest = [], np.zeros(0, "<u4")
+                        for doc, n in zip(doc_ids, lengths, strict=True):
+                            while len(rest) < n:
+                                rest = np.concatenate([rest, next(chunks)])
+                            own, rest = rest[:n], rest[n:]
+                            rows.append((doc, start, n, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if with_ids else ())))
+                            start += n
+                            if len(rows) == 4096:
+                                yield _batch(rows)
+                                rows = []
+                        if rows:
                             yield _batch(rows)
-                            rows = []
-                    if rows:
-                        yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * with_ids
