@@ -17,34 +17,51 @@ from loquela.llm.queries import _vocabulary
 
 
 def plain_top(queries, docs, k):
+    """Over (id, vector) rows: a query's own row is no candidate, other rows of its id are."""
     out = []
-    for q, v in queries.items():
-        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), d) for d, w in docs.items() if d != q)
+    for q, v in queries:
+        rest = list(docs)
+        rest.remove((q, v))
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), d) for d, w in rest)
         out += [(q, i, d, -s) for i, (s, d) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
 def test_top_k_brute_force(spark):
     rng = random.Random(1)
-    docs = {i: [rng.randint(-3, 3) for _ in range(4)] for i in range(230)}  # few values: many ties
-    docs |= {300 + i: docs[5] for i in range(6)}
-    big = {i: [rng.randint(-(1 << 30), 1 << 30) for _ in range(4)] for i in range(40)}
-    for rows, kw in ((docs, {"block": 8, "range_size": 50, "group_size": 3}), (docs, {}), (big, {"block": 4}), ({1: [1, 2], 2: [0, 1]}, {})):
-        df = spark.createDataFrame([*rows.items(), (None, list(rows.values())[0]), (9999, None), next(iter(rows.items()))], "vec_id long, v array<long>")
+    docs = [(i, [rng.randint(-3, 3) for _ in range(4)]) for i in range(230)]  # few values: many ties
+    docs += [(300 + i, docs[5][1]) for i in range(6)]
+    big = [(i, [rng.randint(-(1 << 30), 1 << 30) for _ in range(4)]) for i in range(40)]
+    huge = [(i, [rng.choice((-1, 1)) * ((1 << 31) + rng.randint(0, 99)), rng.randint(-9, 9)]) for i in range(60)]
+    groups = [(i, [50 * (i % 7) + rng.randint(0, 2), 300 - 40 * (i % 7) + rng.randint(0, 2)]) for i in range(400)]
+    odd = [(7, [1, 2, 3]), (7, [4, 5, 6]), (7, [4, 5, 6]), (9, [9]), (50, [1, 1, 1]), (50, [2, 0, 1]), (100, []), (2, [1, 0, 0, 5])]
+    for rows, kw in ((docs, {"block": 8, "range_size": 50}), (docs, {}), (big, {"block": 4}), (huge, {"range_size": 9, "block": 2}), (groups, {"range_size": 60, "block": 8}), (odd, {}), (odd, {"range_size": 2, "block": 1}), ([(1, [1, 2]), (2, [0, 1])], {})):
+        df = spark.createDataFrame([*rows, (None, rows[0][1]), (9999, None)], "vec_id long, v array<long>").withColumns({"r": F.lit("x"), "part": F.lit(None), "score": F.lit(1)})
         queries = df.filter("vec_id % 50 = 0 OR vec_id = 2")
-        got = sorted(tuple(r) for r in topk.top_k(queries, df, 5, **kw).collect())
-        assert got == plain_top({i: v for i, v in rows.items() if i % 50 == 0 or i == 2}, rows, 5)
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(queries, df, 5, **kw).collect())
+        assert got == plain_top([(i, v) for i, v in rows if i % 50 == 0 or i == 2], rows, 5)
     assert topk.top_k(queries.limit(0), df).count() == 0 and topk.top_k(queries, df.limit(0)).count() == 0
 
 
 def test_blocks_are_pruned(monkeypatch):
+    """On clustered vectors, dealt in any order, few of the pairs are scored."""
     rng = np.random.default_rng(2)
-    d = np.repeat(rng.integers(-500, 500, (40, 8)), 16, axis=0) + rng.integers(-2, 3, (640, 8))
+    d = rng.permutation(np.repeat(rng.integers(-500, 500, (40, 8)), 16, axis=0) + rng.integers(-2, 3, (640, 8)))
     scored = []
     real = topk._scores
     monkeypatch.setattr(topk, "_scores", lambda q, x: (scored.append(len(q) * len(x)), real(q, x))[1])
-    topk.search_range(np.arange(10_000, 10_020), d[:20], np.arange(640), d, 5, 16)
-    assert sum(scored) < 0.3 * 20 * 640
+    ones = np.ones(640, np.int32)
+    tile = topk.Tile(np.arange(640), ones, d, 16)
+    row, _, score = tile.search(np.arange(10_000, 10_020), ones[:20], d[:20], np.full(20, topk.NONE), 5)
+    share = sum(scored) / (20 * 640)
+    print(f"{share:.2f} of all pairs scored")
+    assert share < 0.3
+    kth = np.array([score[row == i].min() for i in range(20)])
+    scored.clear()
+    again = tile.search(np.arange(10_000, 10_020), ones[:20], d[:20], kth, 5)  # a known k-th score prunes more
+    assert sum(scored) / (20 * 640) <= share and len(again[0]) == 100
+    scored.clear()
+    assert len(tile.search(np.arange(20), ones[:20], d[:20], kth + 10**9, 5)[0]) == 0 and not scored
 
 
 def test_usable_and_quantised(spark):
@@ -123,10 +140,34 @@ def test_suffix_array(letters):
         assert plcp[i] == k
 
 
-def test_doubling_for_many_letters():
-    x = np.random.default_rng(4).integers(0, 9000, 500)
+@pytest.mark.parametrize("letters", [700, 9000, 2_000_000])
+def test_many_letters_are_written_in_digits(letters):
+    x = np.random.default_rng(4).integers(0, letters, 500)
     x[200:300] = x[:100]
-    assert suffix.suffix_array(x, 9000).tolist() == sorted(range(500), key=lambda i: x[i:].tolist())
+    assert suffix.suffix_array(x, letters).tolist() == sorted(range(500), key=lambda i: x[i:].tolist())
+
+
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=80))
+@settings(max_examples=200, deadline=None)
+def test_deep_recursion(letters):
+    """With tiny alphabets every level has names to write in digits."""
+    x, old = np.array(letters, np.uint8), suffix.LETTERS
+    try:
+        suffix.LETTERS = 4
+        assert suffix.suffix_array(x, 4).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tobytes())
+    finally:
+        suffix.LETTERS = old
+
+
+def test_suffix_array_of_a_shard():
+    """At a shard's size the names of the lower level far outnumber the letters, and sorting recurses."""
+    rng = np.random.default_rng(9)
+    words = [rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8).tobytes() for _ in range(5000)]
+    raw = b" ".join(words[i] for i in rng.integers(0, 5000, 60_000))
+    raw = raw[:250_000] + raw[1000:6000] + raw[100_000:]
+    sa = suffix.suffix_array(np.frombuffer(raw, np.uint8))
+    assert len(set(sa.tolist())) == len(raw)
+    assert all(raw[i : i + 50] <= raw[j : j + 50] and (raw[i : i + 50] != raw[j : j + 50] or raw[i:] < raw[j:]) for i, j in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True))
 
 
 def plain_removed(texts):
@@ -171,6 +212,23 @@ def test_repeats_across_batches(spark, docs_of):
     assert [tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in found] == plain_removed([t.encode() for t in texts])
 
 
+@pytest.mark.parametrize("core", [24, 60, 93, 99])
+def test_hot_grams_are_split(spark, docs_of, monkeypatch, core):
+    """One gram in contexts of far more bytes than a shard takes; the same rows are removed."""
+    monkeypatch.setattr(suffix, "HOT", 3000)
+    rng = random.Random(core)
+    say = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    phrase = "".join(rng.choice("ABCDEFGH") for _ in range(core))
+    sides = [(say(80), say(80)) for _ in range(12)]
+    texts = []
+    for _ in range(300):
+        (left, _), (_, right) = rng.choice(sides), rng.choice(sides)
+        texts.append(rng.choice([say(9), left]) + phrase + rng.choice([right, say(70), right[:40] + say(20)]))
+    texts += [texts[7], texts[8] + "x"]
+    found = suffix.repeated_spans(docs_of(texts).repartition(7)).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in found] == plain_removed([t.encode() for t in texts])
+
+
 def test_long_text_runs_cover_every_window():
     raw = np.random.default_rng(6).integers(97, 100, 700_000).astype(np.uint8).tobytes()
     h, start, n = suffix.runs(raw)
@@ -190,6 +248,19 @@ def test_article_text():
     assert htmltext.page_lines(None) == htmltext.page_lines("") == [] and text_of("<article>") == ""
 
 
+def test_names_are_whole_tokens_and_unclosed_elements_end():
+    assert text_of('<div class="layout has-sidebar"><article><p>Kept</article></div>') == "Kept"
+    assert text_of('<article class="post share-enabled"><p>Kept</article>') == "Kept"
+    assert text_of('<article><p class="notice-board">Board</p>Kept</article>') == "Board Kept"
+    assert text_of('<article><p class="share">gone<p>Kept<p>too</article>') == "Kept too"
+    assert text_of('<article><p><span class="ad">gone<p>Kept</article>') == "Kept"
+    assert text_of('<article>A<ul><li class="share">gone<li>Kept</ul>too</article>') == "A Kept too"
+    assert text_of('<div class="sidebar"><article>Kept</article></div>') == "Kept"
+    assert text_of('<div class="sidebar"><article>Teaser</article></div><article>Kept</article>') == "Kept"
+    assert text_of('<article>Kept</article><div id="comments"><article>Comment</article></div>') == "Kept"
+    assert text_of('<article><header class="header"><h1>Head</h1><p>by me</header><div class="ad-container sidebar-left">gone</div>Kept</article>') == "Head Kept"
+
+
 def test_shared_lines_is_longest():
     rng = random.Random(7)
     for _ in range(200):
@@ -229,27 +300,44 @@ def test_copies_of_a_page_keep_its_text(spark):
 @settings(max_examples=60, deadline=None)
 def test_coder_round_trip(ids, repeat):
     ids = np.array(ids * repeat, np.uint32)
-    data = b"".join(rangecoder.encode_file(ids, [1, None], [len(ids), 0]))
-    docs, lengths, chunks = rangecoder.decode_file(io.BytesIO(data))
+    data = b"".join(rangecoder.encode_section(ids, [1, None], [len(ids), 0]))
+    docs, lengths, chunks = section_of(io.BytesIO(data))
     assert docs == [1, None] and lengths == [len(ids), 0] and np.concatenate([np.zeros(0, "<u4"), *chunks]).tolist() == ids.tolist()
 
 
+def section_of(f):
+    return next(rangecoder.sections(f))
+
+
+def test_files_of_several_sections():
+    parts = [(np.arange(50, dtype=np.uint32), [1, 2], [20, 30]), (np.arange(7, dtype=np.uint32), [None], [7])]
+    data = b"".join(b"".join(rangecoder.encode_section(*p)) for p in parts)
+    found = [(d, n, np.concatenate(list(c)).tolist()) for d, n, c in rangecoder.sections(io.BytesIO(data))]
+    assert found == [(d, n, ids.tolist()) for ids, d, n in parts]
+    for bad in (b"", data + b"x", data[:-1], b"LQTOKEN2" + data[8:]):
+        with pytest.raises(ValueError):
+            [list(c) for _, _, c in rangecoder.sections(io.BytesIO(bad))]
+    assert rangecoder.checked(np.array([65_535], np.uint32)).tolist() == [65_535]
+    with pytest.raises(ValueError):
+        rangecoder.checked(np.array([1, 65_536], np.uint32))
+
+
 def test_coder_blocks_compress_and_check(monkeypatch):
     monkeypatch.setattr(rangecoder, "BLOCK", 100)
     monkeypatch.setattr(rangecoder, "LANES", 3)
     ids = np.tile(np.arange(40, dtype=np.uint32), 30)
-    data = b"".join(rangecoder.encode_file(ids, [1], [1200]))
-    assert np.concatenate(list(rangecoder.decode_file(io.BytesIO(data))[2])).tolist() == ids.tolist()
+    data = b"".join(rangecoder.encode_section(ids, [1], [1200]))
+    assert np.concatenate(list(section_of(io.BytesIO(data))[2])).tolist() == ids.tolist()
     assert len(data) < 2 * len(ids)
     for at in (3, 30, len(data) - 5):
         broken = bytearray(data)
         broken[at] ^= 1
         with pytest.raises(ValueError):
-            list(rangecoder.decode_file(io.BytesIO(bytes(broken)))[2])
+            list(section_of(io.BytesIO(bytes(broken)))[2])
     with pytest.raises(ValueError):
-        list(rangecoder.decode_file(io.BytesIO(data[:-1]))[2])
+        list(section_of(io.BytesIO(data[:-1]))[2])
     with pytest.raises(ValueError):
-        b"".join(rangecoder.encode_file(np.array([70_000], np.uint32), [1], [1]))
+        b"".join(rangecoder.encode_section(np.array([70_000], np.uint32), [1], [1]))
 
 
 def test_token_files(spark, docs_of):
