@@ -104,8 +104,8 @@ def token_estimate(prompt: Column, max_output_tokens: int) -> Column:
 def repair_json_text(raw: str | None) -> str:
     """NFC, code fence off, typographic quotes plain, byte order marks out."""
     text = unicodedata.normalize("NFC", raw or "").strip()
-    text = re.sub(r"\A```(?:json)?\s*", "", text)
-    text = re.sub(r"\s*```\Z", "", text)
+    if fence := re.match(r"```(?:json)?\s*", text, re.IGNORECASE):
+        text = re.sub(r"\s*```\Z", "", text[fence.end() :])
     for typographic, plain in (("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("﻿", "")):
         text = text.replace(typographic, plain)
     return text.strip()

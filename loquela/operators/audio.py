@@ -40,6 +40,15 @@ def wav_info(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["rate", "frames"], dtype="Int64")
 
 
+def pcm_level(raw: bytes, width: int) -> float | None:
+    """RMS in dB of full scale of PCM samples; none without a sample."""
+    samples, scale = decode_pcm(raw, width)
+    if not len(samples):
+        return None
+    rms = float(np.sqrt(np.mean(samples**2))) / scale
+    return 20 * float(np.log10(rms)) if rms > 0 else SILENCE
+
+
 def level(data: bytes | None, start: float, end: float) -> float | None:
     """RMS in dB of full scale of a slice of WAV bytes; channels count as interleaved samples."""
     try:
@@ -49,13 +58,9 @@ def level(data: bytes | None, start: float, end: float) -> float | None:
             if b <= a:
                 return None
             w.setpos(a)
-            samples, scale = decode_pcm(w.readframes(b - a), w.getsampwidth())
+            return pcm_level(w.readframes(b - a), w.getsampwidth())
     except (wave.Error, EOFError, TypeError):
         return None
-    if not len(samples):
-        return None
-    rms = float(np.sqrt(np.mean(samples**2))) / scale
-    return 20 * float(np.log10(rms)) if rms > 0 else SILENCE
 
 
 @F.pandas_udf(DoubleType())

@@ -12,10 +12,16 @@ from loquela.functions.text import hms_ms
 # Stems and whole words that tell a scene's kind; the first rule that holds wins.
 COMBAT_WORDS = "инициатив|атака|урон|спасброс|хитов|двадцат|натуралк|куб|брос|d20|д20"
 RECAP = "прошл(ой|ая|ую)|рекап|в прошлой игре|что случилось"
-SETUP = "микрофон|слышно|запис|наушник|погромче|потише|прибавь|включ "
+SETUP = "микрофон|слышно|запис|наушник|погромче|потише|прибавь|включ"
 SOCIAL = "договор|убежд|спрос|охранник|настоятельниц|колледж|таверн|библиотек"
 
 
+# What extraction results may say.
+LEVELS = "low|medium|high"
+ROLL_TYPES = "attack|damage|save|skill|initiative|other"
+CATEGORIES = "combat|social|support|idea|roleplay|fun|story"
+
+
 def chunk_seconds(minutes: float = 10) -> int:
     return int(float(minutes) * 60)
 
@@ -74,7 +80,14 @@ def chunk_prompts(chunks: DataFrame, party: str = "", key: str = "session") -> D
     ask = (
         "Разбери фрагмент записи настольной игры и верни один JSON-объект без обёртки: session, chunk_index, scene_type, "
         "actions[time, character, action, outcome, importance], dice_rolls[time, character, roll_type, die, natural, modifier, total, context, confidence, raw_text], "
-        "mvp_signals[time, character, category, reason, weight], summary. Неизвестные числа — null."
+        "mvp_signals[time, character, category, reason, weight], summary.\n"
+        f"Допустимые значения: importance и confidence — {LEVELS}; roll_type — {ROLL_TYPES}; category — {CATEGORIES}.\n"
+        "Как заполнять:\n"
+        "* Время бери из фрагмента. В dice_rolls отделяй natural (что на кубе) от modifier и total; чего не слышно — null и confidence low.\n"
+        "* Имена оставляй как в записи; при сомнении в говорящем называй самого вероятного и ставь confidence low.\n"
+        "* mvp_signals — за влияние на игру (решения, помощь, переговоры, расследование, отыгрыш), а не только за урон; шутка весит не больше 1.\n"
+        "* scene_type setup: разговоры о микрофонах и громкости — importance не выше low, кроме начала игры или пересказа.\n"
+        "* scene_type recap: прошлое помечай как воспоминание, сигналы давай лишь за полезные уточнения."
     )
     body = F.to_json(F.struct(key, "chunk_index", "scene_type", "start", "end", "start_hms", "end_hms", "events"), {"pretty": "true", "ignoreNullFields": "false"})
     prompt = F.concat_ws("\n\n", F.lit(ask), F.lit(party or None).cast("string"), body)
@@ -109,5 +122,10 @@ def as_segments(found: DataFrame, track: dict, session: str) -> DataFrame:
     return rows.withColumns({"start_hms": hms_ms(F.col("start")), "end_hms": hms_ms(F.col("end"))})
 
 
+def with_audio(rows: DataFrame, backend: str | None, file: str, preprocessed: bool, limited: bool) -> DataFrame:
+    """Says what audio the rows were recognised from."""
+    return rows.withColumns({"transcription_backend": F.lit(backend).cast("string"), "transcription_file": F.lit(file), "audio_preprocessed": F.lit(preprocessed), "audio_limited": F.lit(limited)})
+
+
 
 

@@ -34,13 +34,23 @@ def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return F.when(shorter <= 0, F.lit(0.0)).otherwise(shared / shorter)
 
 
-def text_similarity(autojunk: bool = True):
+def text_similarity(autojunk: bool = True, least: float = 0.0):
     """Arrow UDF of (later text, kept text): the matching-block ratio of their stripped lower
-    case. It is not symmetric, and with autojunk it passes over frequent letters of long texts."""
+    case. It is not symmetric, and with autojunk it passes over frequent letters of long texts.
+    Pairs whose letters alone rule `least` out get 0; a kept text is analysed once in a row."""
 
     @F.pandas_udf(DoubleType())
     def ratio(later: pd.Series, kept: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, a.lower().strip(), b.lower().strip(), autojunk).ratio() for a, b in zip(later, kept, strict=True)], dtype="float64")
+        found, matcher, now = [0.0] * len(later), SequenceMatcher(None, "", "", autojunk), ""
+        pairs = [(b.lower().strip(), a.lower().strip(), i) for i, (a, b) in enumerate(zip(later, kept, strict=True))]
+        for b, a, i in sorted(pairs):
+            if b != now:
+                matcher.set_seq2(b)
+                now = b
+            matcher.set_seq1(a)
+            if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least:
+                found[i] = matcher.ratio()
+        return pd.Series(found, dtype="float64")
 
     return ratio
 
@@ -66,27 +76,30 @@ def interval_pairs(rows: DataFrame, columns: list[str], key: str = "session", bu
 
 
 def new_wins(a: Column, b: Column, rules: DedupRules = DedupRules()) -> Column:
-    """Whether the later row b replaces the kept row a: louder, then priority, then longer text."""
+    """Whether the later row b replaces the kept row a: louder, then priority, then longer text (chars)."""
     louder = F.when(b["rms_db"] >= a["rms_db"] + rules.louder_db, True).when(a["rms_db"] >= b["rms_db"] + rules.louder_db, False)
     pa, pb = F.coalesce(a["speaker_priority"], F.lit(50)), F.coalesce(b["speaker_priority"], F.lit(50))
     higher = F.when(F.abs(pb - pa) >= rules.priority_gap, pb > pa)
-    return F.coalesce(louder, higher, F.length(b["text"]) > F.length(a["text"]) + rules.longer_chars)
+    return F.coalesce(louder, higher, b["chars"] > a["chars"] + rules.longer_chars)
 
 
 def duplicate_edges(rows: DataFrame, rules: DedupRules = DedupRules(), key: str = "session", bucket: float | None = None) -> DataFrame:
     """(key, kept, later, b_wins) positions of probable duplicates of different sources.
 
-    Cheap tests run in the JVM; only pairs whose lengths could reach the ratio meet the Arrow UDF.
+    Cheap tests run in the JVM on times and lengths; only pairs whose lengths could reach the
+    ratio fetch their texts and meet the Arrow UDF.
     """
     rows = rows.filter(F.length("text") >= rules.least_chars)
-    pairs = interval_pairs(rows, ["pos", "start", "end", "text", "source_file", "rms_db", "speaker_priority"], key, bucket)
+    slim = rows.select(key, "pos", "start", "end", "source_file", "rms_db", "speaker_priority", F.length("text").alias("chars"), F.length(F.trim("text")).alias("bare"))
+    pairs = interval_pairs(slim, [c for c in slim.columns if c != key], key, bucket)
     a, b = F.col("a"), F.col("b")
     pairs = pairs.filter(~a["source_file"].eqNullSafe(b["source_file"]) & (overlap_ratio(a["start"], a["end"], b["start"], b["end"]) >= rules.overlap))
-    size = lambda x: F.length(F.trim(x["text"]))
-    could = 2 * F.least(F.length(a["text"]), F.length(b["text"])) / (size(a) + size(b)) >= rules.similarity
-    scored = pairs.filter(could).withColumn("ratio", text_similarity(rules.autojunk)(b["text"], a["text"]))
-    near = scored.filter(F.col("ratio") >= rules.similarity)
-    return near.select(key, F.col("a.pos").alias("kept"), F.col("b.pos").alias("later"), new_wins(a, b, rules).alias("b_wins"))
+    could = 2 * F.least(a["chars"], b["chars"]) / (a["bare"] + b["bare"]) >= rules.similarity
+    pairs = pairs.filter(could).select(key, a["pos"].alias("kept"), b["pos"].alias("later"), new_wins(a, b, rules).alias("b_wins"))
+    text = lambda name, c: rows.select(key, F.col("pos").alias(name), F.col("text").alias(c))
+    both = pairs.join(text("kept", "_a"), [key, "kept"]).join(text("later", "_b"), [key, "later"])
+    scored = both.withColumn("ratio", text_similarity(rules.autojunk, rules.similarity)(F.col("_b"), F.col("_a")))
+    return scored.filter(F.col("ratio") >= rules.similarity).select(key, "kept", "later", "b_wins")
 
 
 def resolve(matches: dict[int, dict[int, bool]], order: list[int], look_back: int) -> list[tuple[int, int, int]]:

@@ -17,6 +17,10 @@ PHRASES = (
 WHOLE_TEXTS = ("Спасибо.", "Спасибо", "Спасибо!", "Всем спасибо", "Всем спасибо.", "Пока.", "Пока!", "До встречи.", "До новых встреч.")
 
 
+#: First letters by which phrases and texts meet where the phrase table is large.
+GRAM = 8
+
+
 @dataclass(frozen=True)
 class QualityRules:
     """Which filters run, and their thresholds. An empty phrase list switches its filter off."""
@@ -38,11 +42,16 @@ class QualityRules:
     keep_short: bool = True
 
 
-def word_shares(words: Column) -> tuple[Column, Column, Column]:
-    """(words, distinct words, count of the most frequent one) of a short word array, in the row."""
-    distinct = F.array_distinct(words)
-    most = F.array_max(F.transform(distinct, lambda x: F.size(F.filter(words, lambda y: y == x))))
-    return F.size(words), F.size(distinct), F.coalesce(most, F.lit(0))
+def word_shares(words: Column) -> Column:
+    """A struct of n (words), distinct words, and most (the most frequent one's count), in the row:
+    one pass over the sorted words."""
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("run"), F.lit(0).alias("n"), F.lit(0).alias("distinct"), F.lit(0).alias("most"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when((acc["run"] > 0) & (acc["w"] == x), acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("w"), run.alias("run"), (acc["n"] + 1).alias("n"), (acc["distinct"] + F.when(run == 1, 1).otherwise(0)).alias("distinct"), F.greatest(acc["most"], run).alias("most"))
+
+    return F.aggregate(F.array_sort(words), start, step)
 
 
 def is_repeated(n: Column, distinct: Column, most: Column, rules: QualityRules = QualityRules()) -> Column:
@@ -72,14 +81,23 @@ def is_whole_text(norm: Column, phrases: tuple[str, ...]) -> Column:
     return F.array_contains(F.array(*[filter_form(F.lit(p)) for p in phrases]), norm)
 
 
-def phrase_hits(df: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+def phrase_hits(df: DataFrame, text: str, phrases: DataFrame, phrase: str, most_chars: int = 1 << 22) -> DataFrame:
     """Rows whose text holds a phrase of a table: a semi-join on containment.
 
-    Containment has no hash key, so the phrase table is the broadcast side; Spark refuses one
-    over its limit instead of running out of memory.
+    Containment has no hash key. A table of up to `most_chars` characters is broadcast; a larger
+    one meets the texts by the first letters of its phrases, which every text lists, and what
+    meets is tested for containment.
     """
     p = phrases.select(filter_form(F.col(phrase)).alias("_p")).filter("_p <> ''").distinct()
-    return df.withColumn("_t", filter_form(F.col(text))).join(p, F.contains("_t", "_p"), "left_semi").drop("_t")
+    rows = df.withColumn("_t", filter_form(F.col(text)))
+    if (p.agg(F.sum(F.length("_p"))).first()[0] or 0) <= most_chars:
+        return rows.join(F.broadcast(p), F.contains("_t", "_p"), "left_semi").drop("_t")
+    size = F.least(F.length("_p"), F.lit(GRAM))
+    sizes = [r[0] for r in p.select(size.alias("n")).distinct().collect()]  # GRAM rows at most
+    grams = lambda t: F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i, n=n: F.substring(t, i, F.lit(n))) for n in sizes])))
+    texts = rows.select("_t").distinct().select("_t", F.explode(grams(F.col("_t"))).alias("_g"))
+    hits = texts.join(p.select("_p", F.substring(F.col("_p"), F.lit(1), size).alias("_g")), "_g").filter(F.contains("_t", "_p")).select("_t").distinct()
+    return rows.join(hits, "_t", "left_semi").drop("_t")
 
 
 def whole_text_hits(df: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
@@ -97,7 +115,7 @@ def reasons(rules: QualityRules = QualityRules(), text: str = "text", compressio
 
     def judged(norm: Column) -> Column:
         size = F.length(norm)
-        repeated = let(words_of(norm), lambda w: is_repeated(*word_shares(w), rules))
+        repeated = let(word_shares(words_of(norm)), lambda s: is_repeated(s["n"], s["distinct"], s["most"], rules))
         return F.array(
             label(rules.drop_blacklisted, has_phrase(norm, rules.phrases) | is_whole_text(norm, rules.whole_texts), "blacklist"),
             label(rules.drop_repeated, repeated, "repeated_words"),
@@ -109,13 +127,25 @@ def reasons(rules: QualityRules = QualityRules(), text: str = "text", compressio
     return F.array_compact(let(filter_form(F.col(text)), judged))
 
 
-def split(rows: DataFrame, rules: QualityRules = QualityRules()) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, rejected rows with reject_reasons). Both read one projection."""
-    judged = rows.withColumn("reject_reasons", reasons(rules))
+def judge(rows: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """All rows with their reject_reasons."""
+    return rows.withColumn("reject_reasons", reasons(rules))
+
+
+def sides(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, rejected rows with reject_reasons) of judged rows.
+
+    A caller that reads both sides persists the judged rows, or each side judges anew.
+    """
     empty = F.size("reject_reasons") == 0
     return judged.filter(empty).drop("reject_reasons"), judged.filter(~empty)
 
 
+def split(rows: DataFrame, rules: QualityRules = QualityRules()) -> tuple[DataFrame, DataFrame]:
+    """sides() of judge()."""
+    return sides(judge(rows, rules))
+
+
 def suspicious() -> Column:
     """Recognition metrics past fixed thresholds; missing metrics say nothing."""
     return F.coalesce(F.col("avg_logprob") < -1.2, F.lit(False)) | F.coalesce(F.col("no_speech_prob") > 0.65, F.lit(False)) | F.coalesce(F.col("compression_ratio") > 2.6, F.lit(False))

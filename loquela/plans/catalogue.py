@@ -139,8 +139,7 @@ def json_props_coerce(spark, sf_dir):
 @query("timeline_order", """SELECT event_id, CAST(row_number() OVER (ORDER BY coalesce(t, ''), event_id) AS INTEGER) AS place FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS t FROM events WHERE event_type = 'error')""")
 def timeline_order(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", F.when(F.col("event_id") % 7 == 0, None).otherwise(F.col("event_type")).alias("time"))
-    w = Window.orderBy(F.coalesce("time", F.lit("")), "event_id")
-    return e.withColumn("place", F.row_number().over(w)).select("event_id", "place")
+    return folds.numbered(e.withColumn("time", F.coalesce("time", F.lit(""))), ["time", "event_id"]).select("event_id", F.col("place").cast("int").alias("place"))
 
 
 # Text filters
@@ -174,10 +173,11 @@ def blacklist_substring(spark, sf_dir):
     return quality.phrase_hits(table(spark, sf_dir, "documents"), "text", table(spark, sf_dir, "benchmark").withColumnRenamed("text", "phrase"), "phrase").select("doc_id")
 
 
-@query("blacklist_exact", f"SELECT doc_id FROM documents WHERE {_NORM.format('text')} IN (SELECT {_NORM.format('text')} FROM documents WHERE doc_id < 50)")
+@query("blacklist_exact", f"SELECT doc_id FROM documents WHERE {_NORM.format('text')} IN (SELECT {_NORM.format('text')} FROM documents GROUP BY text HAVING count(*) > 1)")
 def blacklist_exact(spark, sf_dir):
+    """The phrase list: every text that several documents share."""
     d = table(spark, sf_dir, "documents")
-    return quality.whole_text_hits(d, "text", d.filter("doc_id < 50").select(F.col("text").alias("phrase")), "phrase").select("doc_id")
+    return quality.whole_text_hits(d, "text", d.groupBy(F.col("text").alias("phrase")).count().filter("count > 1"), "phrase").select("doc_id")
 
 
 def _judged(spark, sf_dir):
@@ -196,19 +196,47 @@ _JUDGED = f"(SELECT *, length(text) % 100 / 10.0::DOUBLE AS cr, -(length(text) %
 FROM (SELECT *, {_NORM.format("text")} AS norm FROM {_JUDGED})""",
 )
 def quality_reasons(spark, sf_dir):
-    kept, rejected = quality.split(_judged(spark, sf_dir))
-    both = kept.withColumn("reject_reasons", F.array().cast("array<string>")).unionByName(rejected)
-    return both.select("session", "pos", F.concat_ws(",", "reject_reasons").alias("reasons"))
+    return quality.judge(_judged(spark, sf_dir)).select("session", "pos", F.concat_ws(",", "reject_reasons").alias("reasons"))
+
+
+#: What a transcript's rows are made to say, by their length: every label of the filters, alone and together.
+_SAID = ("{}", "{} Спасибо за  просмотр!", "Всем СПАСИБО", "да да да {} да да да да да да да да да", "но ну но ну но ну", "ещё раз Субтитры сделал ё", "ага ага ага ага", "Пока")
+
+
+def _said(spark, sf_dir):
+    j = _judged(spark, sf_dir)
+    word = F.regexp_extract("text", "^[^ ]*", 0)
+    said = F.array(*[F.format_string(s.replace("{}", "%s"), word) if "{}" in s else F.lit(s) for s in _SAID])
+    return j.withColumn("text", F.element_at(said, F.length("text") % len(_SAID) + 1))
+
+
+_SAID_SQL = f"""(SELECT * REPLACE (list_extract([{", ".join("'" + s.replace("{}", "' || regexp_extract(text, '^[^ ]*') || '") + "'" for s in _SAID)}], CAST(length(text) % {len(_SAID)} + 1 AS INTEGER)) AS text) FROM {_JUDGED})"""
+
+
+@query(
+    "quality_all_labels",
+    f"""WITH t AS (SELECT *, {_NORM.format("text")} AS norm FROM {_SAID_SQL}),
+w AS (SELECT session, pos, unnest(regexp_extract_all(norm, '[a-zа-я0-9]+')) AS w FROM t), c AS (SELECT session, pos, w, count(*) AS n FROM w GROUP BY 1, 2, 3),
+r AS (SELECT session, pos, sum(n) AS n, count(*) AS d, max(n) AS most FROM c GROUP BY 1, 2)
+SELECT t.session, t.pos, concat_ws(',',
+  CASE WHEN {" OR ".join(f"contains(norm, {_NORM.format(chr(39) + p + chr(39))})" for p in quality.PHRASES)} OR norm IN ({", ".join(_NORM.format(chr(39) + p + chr(39)) for p in quality.WHOLE_TEXTS)}) THEN 'blacklist' END,
+  CASE WHEN coalesce(r.n >= 4 AND (r.most / r.n >= 0.7 OR (r.d <= 2 AND r.n >= 6)), false) THEN 'repeated_words' END,
+  CASE WHEN cr >= 8 THEN 'very_high_compression' WHEN cr >= 4 AND length(norm) > 8 THEN 'high_compression' END,
+  CASE WHEN db <= -78 AND length(norm) >= 18 THEN 'low_rms' END) AS reasons FROM t LEFT JOIN r ON t.session = r.session AND t.pos = r.pos""",
+)
+def quality_all_labels(spark, sf_dir):
+    return quality.judge(_said(spark, sf_dir)).select("session", "pos", F.concat_ws(",", "reject_reasons").alias("reasons"))
 
 
 @query(
     "quality_summary",
-    f"""SELECT count(*) AS raw_rows, count(*) FILTER (pos % 2 = 0) AS clean_rows, count(*) - count(*) FILTER (pos % 2 = 0) AS removed_total, CAST(0 AS BIGINT) AS absorbed,
-  count(*) FILTER (pos % 2 = 0 AND (lp < -1.2 OR cr > 2.6)) AS suspicious FROM {_JUDGED}""",
+    f"""WITH t AS (SELECT *, cr >= 8 OR (cr >= 4 AND length(norm) > 8) OR (db <= -78 AND length(norm) >= 18) AS bad FROM (SELECT *, {_NORM.format("text")} AS norm FROM {_JUDGED}))
+SELECT count(*) AS raw_rows, count(*) FILTER (NOT bad) AS clean_rows, count(*) FILTER (bad) AS removed_total, CAST(coalesce(sum(pos % 3) FILTER (NOT bad), 0) AS BIGINT) AS absorbed,
+  count(*) FILTER (NOT bad AND (lp < -1.2 OR cr > 2.6)) AS suspicious FROM t""",
 )
 def quality_summary(spark, sf_dir):
-    raw = _judged(spark, sf_dir)
-    return quality.quality_summary(raw, raw.filter("pos % 2 = 0"))
+    raw = _judged(spark, sf_dir).withColumn("deduped_from", F.array_repeat(F.lit("x"), (F.col("pos") % 3).cast("int")))
+    return quality.quality_summary(raw, quality.split(raw)[0])
 
 
 @query("suspicious_first30", f"SELECT session, pos FROM {_JUDGED} WHERE lp < -1.2 OR cr > 2.6 ORDER BY session * 1000 + pos LIMIT 30")
@@ -274,14 +302,38 @@ def interval_overlap_pairs(spark, sf_dir):
     return p.select("session", F.col("a.pos").alias("kept"), F.col("b.pos").alias("later"), F.round(dedup.overlap_ratio(a["start"], a["end"], b["start"], b["end"]), 9).alias("share"))
 
 
-@query("dup_edges_fuzzy")
+# View D's copies say "uh " before the text, so the ratio of a row and its copy is 2n / (2n + 3), which is over 0.84 from 8
+# letters on; pairs of different texts stay far below it. Rows are told apart by what stands after that word. The
+# registered queries count every letter (no autojunk), which SQL can follow; tests hold the default against its library.
+WHOLE = dedup.DedupRules(autojunk=False)
+_BLED = f"""(SELECT session, pos * 2 AS pos, source_file, speaker, text, start, "end", -20.0::DOUBLE AS db, text AS bare FROM ({T_SQL})
+UNION ALL SELECT session, pos * 2 + 1, 'bleed', speaker, 'uh ' || text, start + 0.2, "end" + 0.2, -30.0::DOUBLE, text FROM ({T_SQL}))"""
+_EDGES = f"""(SELECT a.session, a.pos AS kept, b.pos AS later, b.db >= a.db + 3 AS b_wins FROM {_BLED} a JOIN {_BLED} b
+  ON a.session = b.session AND a.pos < b.pos AND a.source_file <> b.source_file AND a.start < b."end" AND b.start < a."end"
+  WHERE length(a.text) >= 20 AND length(b.text) >= 20 AND lower(trim(a.bare)) = lower(trim(b.bare))
+    AND greatest(0, least(a."end", b."end") - greatest(a.start, b.start)) / least(a."end" - a.start, b."end" - b.start) >= 0.45)"""
+
+
+@query("dup_edges_fuzzy", f"SELECT * FROM {_EDGES}")
 def dup_edges_fuzzy(spark, sf_dir):
-    return dedup.duplicate_edges(bled(spark, sf_dir))
+    return dedup.duplicate_edges(bled(spark, sf_dir), WHOLE)
 
 
-@query("dedup_greedy")
+@query(
+    "dedup_greedy",
+    f"""WITH RECURSIVE e AS (SELECT session, later AS pos, list(kept) AS kept, list(kept) FILTER (b_wins) AS beaten FROM {_EDGES} GROUP BY 1, 2),
+o AS (SELECT d.session, d.pos, row_number() OVER (PARTITION BY d.session ORDER BY d.pos) AS rn, coalesce(kept, []) AS kept, coalesce(beaten, []) AS beaten FROM {_BLED} d LEFT JOIN e ON d.session = e.session AND d.pos = e.pos),
+r AS (SELECT session, rn, [pos] AS slots, CAST(1 AS BIGINT) AS slot FROM o WHERE rn = 1
+  UNION ALL SELECT session, rn, CASE WHEN hit IS NULL THEN list_append(slots, pos) WHEN list_contains(beaten, slots[hit]) THEN list_transform(slots, lambda x, i: CASE WHEN i = hit THEN pos ELSE x END) ELSE slots END, coalesce(hit, len(slots) + 1)
+  FROM (SELECT o.session, o.rn, o.pos, o.kept, o.beaten, r.slots, list_min(list_filter(range(greatest(1, len(r.slots) - 39), len(r.slots) + 1), lambda i: list_contains(o.kept, r.slots[i]))) AS hit
+    FROM r JOIN o ON o.session = r.session AND o.rn = r.rn + 1)),
+f AS (SELECT session, unnest(slots) AS pos, unnest(range(1, len(slots) + 1)) AS slot FROM r QUALIFY row_number() OVER (PARTITION BY session ORDER BY rn DESC) = 1),
+n AS (SELECT session, slot, count(*) - 1 AS absorbed FROM r GROUP BY 1, 2)
+SELECT f.session, CAST(row_number() OVER (PARTITION BY f.session ORDER BY d.start, d."end", d.speaker, d.pos) AS BIGINT) AS pos, d.source_file, CAST(round(d.start * 1000) AS BIGINT) AS start_ms, CAST(n.absorbed AS INTEGER) AS absorbed
+FROM f JOIN n ON f.session = n.session AND f.slot = n.slot JOIN {_BLED} d ON d.session = f.session AND d.pos = f.pos""",
+)
 def dedup_greedy(spark, sf_dir):
-    done = dedup.deduplicate(bled(spark, sf_dir))
+    done = dedup.deduplicate(bled(spark, sf_dir), WHOLE)
     return done.select("session", "pos", "source_file", _ms("start").alias("start_ms"), F.size("deduped_from").alias("absorbed"))
 
 
@@ -393,6 +445,23 @@ def scene_type(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scene.alias("scene"))
 
 
+#: Words that the default lists tell scenes by, and some that they must not be misled by.
+_SCENES = ("атака", "атаковать", "кубик", "прошлая", "в прошлой игре", "микрофон", "включи", "включить запись", "слышно", "таверна", "просто идём", "d20")
+_SCENE_TEXT = " || ' ' || ".join(f"list_extract([{', '.join(chr(39) + w + chr(39) for w in _SCENES)}], CAST((n_chars // {k}) % {len(_SCENES)} + 1 AS INTEGER))" for k in (1, 5, 7, 11, 13, 17))
+
+
+@query(
+    "scene_type_defaults",
+    rf"""WITH t AS (SELECT doc_id, {_SCENE_TEXT} AS text FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])({chunks.COMBAT_WORDS})([^\p{{L}}\p{{N}}_]|$)') THEN 'combat_or_rolls'
+  WHEN len(regexp_extract_all(lower(text), '{chunks.RECAP}')) >= 2 THEN 'recap' WHEN len(regexp_extract_all(lower(text), '{chunks.SETUP}')) >= 4 THEN 'setup'
+  WHEN regexp_matches(lower(text), '{chunks.SOCIAL}') THEN 'social_or_exploration' ELSE 'gameplay' END AS scene FROM t""",
+)
+def scene_type_defaults(spark, sf_dir):
+    said = [F.element_at(F.array(*map(F.lit, _SCENES)), (F.floor(F.col("n_chars") / k) % len(_SCENES)).cast("int") + 1) for k in (1, 5, 7, 11, 13, 17)]
+    return table(spark, sf_dir, "documents").select("doc_id", chunks.scene_type(F.concat_ws(" ", *said)).alias("scene"))
+
+
 # Audio levels
 
 

@@ -26,18 +26,22 @@ def rules_of(cfg: dict) -> tuple[quality.QualityRules, timing.TimingRules, dedup
     return quality.QualityRules(**q), timing.TimingRules(**t), dedup.DedupRules(**u), m
 
 
-def clean(raw: DataFrame, cfg: dict | None = None, key: str = "session") -> tuple[DataFrame, DataFrame]:
+def clean(raw: DataFrame, cfg: dict | None = None, key: str = "session", held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(clean rows, rejected rows) of raw rows that carry pos.
 
     Repaired segments are no longer than the longest text's cap, which makes the interval
     join's bucket; without repair the bucket is measured. The rows that several later steps
-    read are persisted (memory, then disk), so no step computes an earlier one again.
+    read are persisted (memory, then disk), so no step computes an earlier one again; they are
+    appended to `held`, for the caller to release when the results are written.
     """
     q, t, d, m = rules_of(cfg or {})
-    kept, rejected = quality.split(raw, q)
-    rows = timing.repair(kept, t, (key,)).persist()
-    rows = dedup.deduplicate(rows, d, key, bucket=max(20.0, t.long_cap) if t.enabled else None)
+    held = [] if held is None else held
+    judged = quality.judge(raw, q).persist()
+    kept, rejected = quality.sides(judged)
+    repaired = timing.repair(kept, t, (key,)).persist()
+    rows = dedup.deduplicate(repaired, d, key, bucket=max(20.0, t.long_cap) if t.enabled else None)
     rows = timing.repair(rows, t, (key,)).persist()
+    held += [judged, repaired, rows]
     rows = merge.merge_adjacent(rows, key=key, **m)
     return timing.repair(rows, t, (key,)), rejected
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loquela import config
 from loquela.operators import chunks, jobs, reports
 from loquela.plans import rebuild
-from loquela.sources import extract, readers, sinks
+from loquela.sources import extract, readers, recognise, sinks
 
 log = logging.getLogger(__name__)
 
@@ -31,14 +31,15 @@ def run_rebuild(spark: SparkSession, root: Path, cfg: dict[str, Any]) -> None:
     """Clean rows, quality report, chunks and prompts from stored raw rows."""
     paths, name, test = sinks.session_paths(root), cfg["session_name"], bool(cfg.get("limit_minutes"))
     raw = readers.read_jsonl(spark, str(raw_path(paths, cfg, fall_back=True))).cache()
-    clean, rejected = rebuild.clean(raw, cfg)
+    held = [raw]
+    clean, rejected = rebuild.clean(raw, cfg, held=held)
     clean = clean.cache()
     sinks.write_clean(clean, paths["clean"], name, test)
     sinks.write_rejected(rejected, paths["clean"], name)
     sinks.write_lines(paths["reports"] / f"quality_report{'_test' if test else ''}.md", sinks.quality_report(raw, clean, name, cfg.get("quality_profile", "balanced")))
     write_prompts(spark, root, cfg, clean)
-    raw.unpersist()
-    clean.unpersist()
+    for rows in (*held, clean):
+        rows.unpersist()
 
 
 def run_prepare(spark: SparkSession, root: Path, cfg: dict[str, Any]) -> None:
@@ -93,9 +94,11 @@ def run_extract(spark: SparkSession, root: Path, cfg: dict[str, Any], force: boo
         return take
 
     for batch in list(ledger["pending"]):
-        if hasattr(service, "collect"):
-            old = [extract.Job(n, "", h) for n, h in batch["jobs"].items()]
-            service.collect(batch["batch_id"], old, taker(batch["jobs"]))
+        if not hasattr(service, "collect"):
+            log.warning("batch %s stays pending: this service reads no batches", batch["batch_id"])
+            continue  # it is paid for; a later run with the service that made it reads it
+        old = [extract.Job(n, "", h) for n, h in batch["jobs"].items()]
+        service.collect(batch["batch_id"], old, taker(batch["jobs"]))
         ledger["pending"].remove(batch)
         keep()
     files = sorted(paths["prompts"].glob("chunk_*_prompt.md"))
@@ -152,8 +155,21 @@ def synthesis_prompt(results: DataFrame, session: str, party: DataFrame) -> str:
     """A request for recap, open threads and scenes from the aggregated results."""
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     parts = {k: rows(df) for k, df in reports.synthesis_input(results).items()}
-    looks = "\n".join(f"- {m['name']}: {m.get('appearance_en') or m.get('class_ru') or ''}" for m in rows(party)) or "(не описаны)"
-    ask = "Составь материалы хроники и верни один JSON-объект: recap (один текст по-русски, абзацы через пустую строку), quest_hooks[title, description], scenes[title, chunk_index, time, image_prompt (по-английски)]. Опирайся только на данные."
+
+    def look(m: dict[str, Any]) -> str:
+        known = (m.get("class_ru"), m.get("appearance_en"), ", ".join(m.get("spells") or ()))
+        return f"- {m['name']}: " + "; ".join(x for x in known if x)
+
+    looks = "\n".join(map(look, rows(party))) or "(не описаны)"
+    ask = (
+        "Составь материалы хроники и верни один JSON-объект: recap, quest_hooks[title, description], scenes[title, chunk_index, time, image_prompt].\n"
+        "* recap — строка по-русски, четыре-шесть абзацев через пустую строку: что произошло в мире игры, в прошедшем времени, без разговоров за столом, "
+        "бросков и номеров фрагментов; в конце — где герои остановились.\n"
+        "* quest_hooks — открытые вопросы, найденные сведения и возможные пути, по-русски.\n"
+        "* scenes — от трёх до пяти самых зрелищных сцен, первая годится на обложку; time из данных, image_prompt по-английски: "
+        "dark fantasy oil painting, место, действие и внешность участников.\n"
+        "Опирайся только на данные, имена не переводи."
+    )
     return f"{ask}\n\nВнешность:\n{looks}\n\n" + json.dumps({"session": session, **parts}, ensure_ascii=False, indent=2)
 
 
@@ -221,11 +237,19 @@ def render(template: Path, build: Path, out: Path) -> None:
     typst.compile(str(build / template.name), output=str(out), **({"font_paths": [str(fonts)]} if fonts.is_dir() else {}))
 
 
-def run_session(spark: SparkSession, root: Path, cfg: dict[str, Any], source: readers.SegmentSource) -> None:
-    """From a segment source to reports: union of all tracks in one row order, then the rebuild path."""
+def run_session(spark: SparkSession, root: Path, cfg: dict[str, Any], source: readers.SegmentSource | recognise.Recogniser) -> None:
+    """From a recogniser or stored segments to reports: all tracks in one row order, then the rebuild path.
+
+    A recogniser hears cleaned, limited and gated audio. Stored segments take what they lack
+    (names, priority, index) from their track.
+    """
     paths = sinks.session_paths(root)
-    tracks = readers.discover_tracks([p.name for p in root.iterdir() if p.is_file()], cfg)
-    found = [source.segments(spark, t).withColumn("seg_idx", F.monotonically_increasing_id()) for t in tracks]
+    if hasattr(source, "recognise"):
+        found = recognise.track_rows(spark, root, cfg, source)
+    else:
+        tracks = readers.discover_tracks([p.name for p in root.iterdir() if p.is_file()], cfg)
+        table = readers.track_table(spark, tracks) if tracks else None
+        found = [readers.with_track_defaults(source.segments(spark, t), table).withColumn("seg_idx", F.monotonically_increasing_id()) for t in tracks]
     if not found:
         raise RuntimeError("no tracks, nothing to do")
     rows = chunks.within_minutes(chunks.union_tracks(found), cfg.get("limit_minutes"))

@@ -32,10 +32,13 @@ def file_mark(path: Path) -> str:
     return hashlib.sha1(f"{path.name}:{s.st_size}:{int(s.st_mtime)}".encode()).hexdigest()[:16]
 
 
-def transcription_signature(track: dict[str, Any], cfg: dict[str, Any], path: Path) -> str:
-    """Of all that a track's recognised rows depend on."""
-    keys = ("transcription_backend", "model_size", "mlx_model", "language", "beam_size", "word_timestamps", "vad", "decode", "limit_minutes", "preprocess", "cross_track_gate")
-    return signature(file=file_mark(path), own=track.get("preprocess"), **{k: cfg.get(k) for k in keys})
+def transcription_signature(track: dict[str, Any], cfg: dict[str, Any], path: Path, heard: Path | None = None) -> str:
+    """Of all that a track's recognised rows depend on: the file, the one made from it, settings."""
+    keys = (
+        "transcription_backend", "model_size", "mlx_model", "language", "beam_size", "word_timestamps", "condition_on_previous_text", "use_vad", "vad_min_silence_ms",
+        "vad_speech_pad_ms", "vad_min_speech_ms", "vad_merge_gap_sec", "vad_bucket_minutes", "decode", "limit_minutes", "preprocess",
+    )
+    return signature(file=file_mark(path), heard=file_mark(heard or path), own=track.get("preprocess"), **{k: cfg.get(k) for k in keys})
 
 
 def _ffmpeg(args: list[str]) -> None:

@@ -107,7 +107,7 @@ class Retries:
             if status < 400:
                 return body
             said = f"HTTP {status}: {body[:300].decode('utf-8', 'replace')}"
-            if status == 429 and limited < self.rate_limited:
+            if status == 429 and limited < self.rate_limited - 1:
                 limited += 1
                 self.sleep(self.wait(limited, headers))
             elif status >= 500 and faults < self.faults - 1:

@@ -26,6 +26,6 @@ def chunk_scenes(segments: DataFrame, minutes: int = 10, late: str = "5 minutes"
 
 
 def first_mentions(segments: DataFrame, late: str = "5 minutes") -> DataFrame:
-    """Drops rows whose normal text another source has brought within the watermark."""
+    """Drops rows whose normal text the session has had within the watermark, from whatever source."""
     keyed = segments.withColumn("_t", F.lower(F.trim("text"))).withWatermark("ts", late)
     return keyed.dropDuplicatesWithinWatermark(["session", "_t"]).drop("_t")
