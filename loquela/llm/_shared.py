@@ -60,9 +60,9 @@ def drop_folder(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """written(make()), and the folders that make() left on the way are gone."""
-    folder, token = shared_dir(spark), _inside.set([])
+def settled(spark: SparkSession, make: Callable[[], DataFrame], folder: str) -> DataFrame:
+    """written(make(), folder), and the folders that make() left on the way are gone."""
+    token = _inside.set([])
     try:
         return written(make(), folder)
     finally:

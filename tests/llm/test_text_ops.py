@@ -384,7 +384,7 @@ def test_decontamination_brute_force(spark, docs_of):
 
 
 @pytest.mark.parametrize("kind", ["delete", "insert", "change", "mixed"])
-@pytest.mark.parametrize("n", [12, 18, 19, 30, 40, 48, 64])
+@pytest.mark.parametrize("n", [18, 30, 48, 64])
 def test_recall_at_full_rate(n, kind):
     """Every kind of edit, at the full rate, for windows of every size (64 words are two parts)."""
     rng = random.Random(n)
