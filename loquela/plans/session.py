@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import json
 import logging
 import shutil
@@ -18,6 +19,8 @@ from loquela.plans import rebuild
 from loquela.sources import extract, readers, recognise, sinks
 
 log = logging.getLogger(__name__)
+#: The template that ships with the package.
+TEMPLATE = Path(__file__).parent.parent / "templates" / "chronicle.typ"
 
 
 def raw_path(paths: dict[str, Path], cfg: dict[str, Any], fall_back: bool = False) -> Path:
@@ -200,7 +203,8 @@ def run_chronicle(spark: SparkSession, root: Path, cfg: dict[str, Any], force: b
     """Stage the chronicle: data.json, images and reference pictures in one folder.
 
     Rendering needs the typst package, which is optional: RuntimeError says so if a template is
-    configured and the package is missing.
+    configured and the package is missing. Without one configured the shipped template is used
+    where the package is there.
     """
     paths, pdf = sinks.session_paths(root), config.pdf_settings(cfg)
     assets = root / pdf["assets_dir"]
@@ -222,8 +226,9 @@ def run_chronicle(spark: SparkSession, root: Path, cfg: dict[str, Any], force: b
             member["ref_file"] = f"images/{Path(ref).name}"
     sinks.write_json(build / "data.json", data)
     results.unpersist()
-    if pdf.get("template"):
-        render(Path(pdf["template"]), build, paths["reports"] / f"{cfg['session_name']}.pdf")
+    template = pdf.get("template") or (TEMPLATE if importlib.util.find_spec("typst") else None)
+    if template:
+        render(Path(template), build, paths["reports"] / f"{cfg['session_name']}.pdf")
     return build / "data.json"
 
 
