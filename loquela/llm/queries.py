@@ -107,6 +107,13 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
 
 
+#: For pages as the tables have them: one article, bold the only inline element, two character references.
+ORACLES["op9_html"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?is)<article[^>]*>(.*)</article>', 1) AS x FROM pages),
+t AS (SELECT page_id, url, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(x, '(?i)</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM t"""
+
+
 #: The pseudonyms' key of the registered queries; a real run passes its own secret.
 PII_KEY = b"not a secret: registered queries only"
 
@@ -139,3 +146,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.repeated_spans(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Strings of 100 bytes by their hashes, in blocks of 200 starts; the first of equal ones stays.
+ORACLES["op8_suffix"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+c AS (SELECT doc_id, n, o, substr(x, 2 * o + 1, 2 * 299) AS y FROM (SELECT doc_id, n, x, unnest(range(0, n - 99, 200)) AS o FROM d WHERE n >= 100)),
+w AS (SELECT doc_id, o + p AS p, hash(substr(y, 2 * p - 1, 200)) AS w FROM (SELECT doc_id, o, y, unnest(range(1, least(200, n - 99 - o) + 1)) AS p FROM c)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1),
+g AS (SELECT doc_id, p, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT *, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 99 AS b FROM g GROUP BY doc_id, g),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM s),
+t AS (SELECT k.doc_id, sum(b - a + 1) AS removed, count(*) AS spans, string_agg(substr(x, 2 * prev + 1, 2 * (a - 1 - prev)), '' ORDER BY a) AS head, max(b) AS last FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id"""
