@@ -28,9 +28,9 @@ from loquela.llm._shared import in_slices, task, written
 
 #: Edits allowed for each word of an item; items with fewer words than this allow none.
 RATE, LEAST = 0.2, 5
-#: Repetitions; steps sampled in each, for windows of up to so many words (longer ones agree at
-#: fewer steps). Measured recall at the full rate is over 0.9 for every kind of edit (tests).
-REPEATS, SAMPLES = 24, ((18, 3), (48, 2))
+#: For windows of up to so many words: repetitions, and steps sampled in each. Longer windows agree
+#: at fewer steps. Measured recall at the full rate is over 0.9 for every kind of edit (tests).
+SCHEME = ((18, 24, 3), (32, 36, 3), (48, 24, 2))
 #: Longest window in words, and windows embedded at once.
 LONGEST, BLOCK = 48, 1 << 15
 #: Tasks receive two tables of fixed size: the item sizes that each of 2^20 cells of word pairs
@@ -51,8 +51,8 @@ def _hashes(found: list[str]) -> np.ndarray:
 def _constants(size: int, repeat: int) -> tuple[list[int], np.ndarray]:
     """Sampled steps and the walk's odd multipliers; fixed by window size and repetition."""
     rng = np.random.default_rng([size, repeat, 20])
-    n = next(n for most, n in SAMPLES if size <= most)
-    steps = sorted(rng.choice(2 * size, n, replace=False).tolist())
+    samples = next(n for most, _, n in SCHEME if size <= most)
+    steps = sorted(rng.choice(2 * size, samples, replace=False).tolist())
     return steps, rng.integers(0, 1 << 63, 2 * size + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -69,15 +69,16 @@ def keys_of(windows: np.ndarray) -> np.ndarray:
 
 
 def cgk_keys(windows: np.ndarray) -> np.ndarray:
-    """[windows, REPEATS] keys of [windows, size] word hashes, by sampled CGK walks."""
+    """[windows, repetitions] keys of [windows, size] word hashes, by sampled CGK walks."""
     n, size = windows.shape
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1).ravel()
     base = np.arange(n) * (size + 1)
-    out = np.empty((n, REPEATS), np.uint64)
-    for r in range(REPEATS):
+    repeats = next(n for most, n, _ in SCHEME if size <= most)
+    out = np.empty((n, repeats), np.uint64)
+    for r in range(repeats):
         steps, odd = _constants(size, r)
         at, end = base.copy(), base + size
-        key = np.full(n, (size * REPEATS + r) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        key = np.full(n, (size * 64 + r) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
         for j in range(steps[-1] + 1):
             word = padded[at]
             if j in steps:
