@@ -1,6 +1,7 @@
 """SimHash, packing, language ID, decontamination, pseudonyms: brute force and edge cases."""
 
 import ipaddress
+import math
 import random
 import re
 import zlib
@@ -306,6 +307,55 @@ def test_language_identification(spark):
     assert not any(r["kept"] for r in langid.identify_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect())
 
 
+def plain_languages(rows):
+    """(language, confidence) of (id, text, declared, host) rows, by dictionaries and loops; all declared rows are fitted on."""
+
+    def cells(text):
+        fold = [0 if not (b >= 128 or chr(b).isalpha()) else 27 + (b - 128) % 32 if b >= 128 else ord(chr(b).lower()) - 96 for b in b" " + (text or "").encode() + b" "]
+        return [tuple(fold[i : i + 3]) for i in range(len(fold) - 2) if fold[i + 1]]
+
+    langs = sorted({d for _, _, d, _ in rows if d})
+    counts = {g: Counter(c for _, t, d, _ in rows if d == g for c in cells(t)) for g in langs}
+    seen = set().union(*counts.values())
+    size = {g: sum(counts[g].values()) + langid.ADD * len(seen) for g in langs}
+    ll = [{g: langid.TEMPER * sum(math.log((counts[g][c] + langid.ADD) / size[g]) for c in cells(t) if c in seen) for g in langs} for _, t, _, _ in rows]
+    best = [max(langs, key=lambda g: (x[g], -langs.index(g))) if cells(t) else None for x, (_, t, _, _) in zip(ll, rows, strict=True)]
+    total = Counter(b for b in best if b)
+    corpus = {g: (total[g] + 1) / (sum(total.values()) + len(langs)) for g in langs}
+    said = Counter((d, b) for (_, _, d, _), b in zip(rows, best, strict=True) if b)
+    hosts = Counter((h, b) for (_, _, _, h), b in zip(rows, best, strict=True) if b and h)
+    out = {}
+    for (i, t, d, h), x, b in zip(rows, ll, best, strict=True):
+        if not cells(t):
+            out[i] = (None, 0.0)
+            continue
+        others = {g: hosts[h, g] - (g == b and bool(h)) if h else 0 for g in langs}
+        post = {}
+        for g in langs:
+            prior = (others[g] + langid.PARENT * corpus[g]) / (sum(others.values()) + langid.PARENT)
+            declared = math.log((said[d, g] + langid.ADD_DECLARED / len(langs)) / (sum(said[e, g] for e in langs) + langid.ADD_DECLARED)) if d else 0
+            post[g] = x[g] + math.log(prior) + declared
+        top = max(langs, key=lambda g: (post[g], -langs.index(g)))
+        out[i] = (top, 1 / sum(math.exp(post[g] - post[top]) for g in langs))
+    return out
+
+
+def test_languages_by_brute_force(spark):
+    rng = random.Random(21)
+    stems = {"en": ["the", "thing", "with"], "de": ["und", "über", "schön"], "fr": ["l'eau", "que", "été"]}
+    rows = []
+    for i in range(90):
+        g = rng.choice(["en", "de", "fr"])
+        said = rng.choice([g, g, g, None, rng.choice(["en", "de", "fr"])])
+        mixed = [rng.choice(stems[g if rng.random() < 0.8 else "en"]) for _ in range(rng.choice([0, 1, 3, 12]))]
+        rows.append((i, rng.choice([" ".join(mixed), None]) if i % 15 == 0 else " ".join(mixed), said, rng.choice([None, "hot", "hot", f"h{i % 4}"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = plain_languages(rows)
+    for r in langid.identify_documents(docs).collect():
+        language, sure = want[r["doc_id"]]
+        assert abs(r["confidence"] - sure) < 1e-4 and (r["language"] == language or abs(sure - 0.5) < 1e-4), r
+
+
 def test_languages_beyond_one_table_and_frequent_hosts(spark, monkeypatch):
     """Every declared language is a class, whatever the number a task holds at once; a host with most rows changes nothing."""
     rng = random.Random(11)
@@ -488,6 +538,20 @@ def test_local_numbers_stay_valid_and_keys_are_found():
     assert sum(a != b for a, b in zip(p.letters("email", long), long, strict=True)) > 800
 
 
+def test_documents_turn_back():
+    """Over a whole table: whoever has the key gets every text back (month-first dates may come back day first)."""
+    import pyarrow.parquet as pq
+
+    p, kinds = pii.Permuter(b"key"), Counter()
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
+        new, spans = pii.pseudonymise(text, p)
+        kinds.update(k for _, _, k in spans)
+        assert len(new or "") == len(text or "")
+        if not any(k == "dmy" for _, _, k in spans):
+            assert pii.pseudonymise(new, p, back=True)[0] == text
+    assert sum(kinds.values()) > 5, kinds
+
+
 def test_pseudonyms_leave_the_rest():
     p = pii.Permuter(b"k")
     for text in ("", "no digits", "4111111111111112", "256.1.1.1", "31.02.1999", "version 1.2.3.4.5", "Licensed under CC BY-NC 4.0.", "000-12-3456", "GB00 WEST 1234 5698 7654 32"):
