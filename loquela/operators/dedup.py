@@ -44,6 +44,9 @@ def text_similarity(autojunk: bool = True, least: float = 0.0):
         found, matcher, now = [0.0] * len(later), SequenceMatcher(None, "", "", autojunk), ""
         pairs = [(b.lower().strip(), a.lower().strip(), i) for i, (a, b) in enumerate(zip(later, kept, strict=True))]
         for b, a, i in sorted(pairs):
+            if not autojunk and (a in b or b in a):  # the shorter one is the longest block there can be
+                found[i] = 2 * min(len(a), len(b)) / (len(a) + len(b)) if a or b else 1.0
+                continue
             if b != now:
                 matcher.set_seq2(b)
                 now = b

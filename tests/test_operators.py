@@ -117,6 +117,17 @@ def test_similarity(spark):
     assert got == [1.0, SequenceMatcher(None, "tide", "diet").ratio(), SequenceMatcher(None, "diet", "tide").ratio()]
 
 
+def test_similarity_of_every_letter_and_its_bounds(spark):
+    rng = random.Random(4)
+    say = lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(0, 40)))
+    pairs = [(a := say(), rng.choice([say(), a, "uh " + a, a[3:9]])) for _ in range(200)] + [("", "")]
+    model = [SequenceMatcher(None, a.strip(), b.strip(), False).ratio() for a, b in pairs]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(dedup.text_similarity(False)("a", "b")).collect()] == model
+    for got, want in zip(df.select(dedup.text_similarity(False, 0.84)("a", "b")).collect(), model, strict=True):
+        assert got[0] == want or (want < 0.84 and got[0] < 0.84)  # ruled out early
+
+
 def test_overlap_ratio(spark):
     r = lambda *x: one(spark, dedup.overlap_ratio(*[F.lit(float(v)) for v in x]))
     assert (r(0, 2, 0, 4), r(0, 1, 5, 6), r(3, 3, 0, 9)) == (1.0, 0.0, 0.0)
