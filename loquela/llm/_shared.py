@@ -107,7 +107,7 @@ def give_back() -> None:
         pass
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that no slice has much over `most` bytes in its text column.
 
     A slice has one row at least; memory follows the longest text, not the batch size.

@@ -32,7 +32,7 @@ RATE, LEAST = 0.2, 5
 #: at fewer steps. Measured recall at the full rate is over 0.9 for every kind of edit (tests).
 SCHEME = ((18, 24, 3), (32, 36, 3), (48, 24, 2))
 #: Longest window in words, and windows embedded at once.
-LONGEST, BLOCK = 48, 1 << 15
+LONGEST, BLOCK = 48, 1 << 13
 #: Tasks receive two tables of fixed size: the item sizes that each of 2^20 cells of word pairs
 #: occurs in, as bits (8 MB), and a bitmap of 2^22 cells of item keys (512 KB).
 PAIR_BITS, BITS = 20, 22
