@@ -259,6 +259,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """(text_hash, class) of the texts of rows with an id: the classes of near_duplicates(), told by
+    text, so that several texts under one id are not joined by it."""
+    texts = docs.filter(F.col(id_col).cast("long").isNotNull()).select(F.col(text_col).cast("string").alias("text"))
+    rows = texts.withColumn("text_hash", F.xxhash64("text"))
+    fps = written(fingerprints(rows, "text_hash", "text", words).withColumnRenamed("doc_id", "text_hash").distinct())
+    roots = components(written(links(fps.select("fp", F.col("fp").alias("rep")).distinct(), radius)))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select("text_hash", F.coalesce("root", "fp").alias("class"))
+
+
 # Similarity at five words: a prefix index over the shingle sets themselves
 
 #: Rows (in expectation) whose shingles are counted for the index's order, and how many are ranked.
@@ -405,24 +415,51 @@ def _candidates(dealt: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(task(run), "a long, b long").distinct()
 
 
-def _grams_of(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, grams) of some nodes, once each, from (node, grams)."""
-    nodes = nodes.select("node").distinct()
-    cell = F.shiftrightunsigned(F.xxhash64("node"), 64 - NEEDED_BITS)
-    words = nodes.groupBy(F.shiftright(cell, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(node), {64 - NEEDED_BITS}) & 63 AS int))")).alias("v")).toArrow()
-    bitmap = np.zeros(1 << NEEDED_BITS - 6, np.int64)  # of fixed size: other sets don't travel
-    bitmap[words.column("w").to_numpy()] = words.column("v").to_numpy()
+def _node(grams: bytes) -> int:
+    """The name of a shingle set, as a signed 64-bit number."""
+    return (xxhash.xxh3_64_intdigest(grams) + (1 << 63)) % (1 << 64) - (1 << 63) if grams else 0
+
+
+def _grams(texts: DataFrame, words: int) -> DataFrame:
+    """(node, grams) of each (text): sets are long, so they are made again where needed and not stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text"):
+            grams = [shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, grams)), pa.int64()), pa.array(grams, pa.binary())], ["node", "grams"])
+
+    return texts.select("text").mapInArrow(task(run), "node long, grams binary")
+
+
+def _grams_of(nodes: DataFrame, named: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(node, grams) of some nodes, once each: from (node, text_hash) of one text of each and (text_hash, text) rows."""
+    one = nodes.select("node").distinct().join(named, "node").select("text_hash")
+    cell = F.shiftrightunsigned("text_hash", 64 - NEEDED_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(text_hash, {64 - NEEDED_BITS}) & 63 AS int))")
+    bits = one.groupBy(F.shiftright(cell, 6).cast("int").alias("w")).agg(F.bit_or(bit).alias("v")).toArrow()
+    bitmap = np.zeros(1 << NEEDED_BITS - 6, np.int64)  # of fixed size: other texts don't travel
+    bitmap[bits.column("w").to_numpy()] = bits.column("v").to_numpy()
     shared = nodes.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a copy in the same task
         for batch in batches:
             c = batch.column("cell").to_numpy()
-            yield batch.filter(pa.array((shared.value[c >> 6] >> (c & 63).astype(np.uint64) & np.uint64(1)).astype(bool))).select(["node", "grams"])
+            wanted = (shared.value[c >> 6] >> (c & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            for slice_ in in_slices([batch.filter(pa.array(wanted))], "text"):
+                found = {}
+                for text_hash, text in zip(slice_.column("text_hash").to_pylist(), slice_.column("text").to_pylist(), strict=True):
+                    if text_hash not in seen:
+                        seen.add(text_hash)
+                        grams = shingle_set(text, words).tobytes()
+                        found[_node(grams)] = grams
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "grams"])
 
-    return sets.select("node", "grams", cell.alias("cell")).mapInArrow(task(needed), "node long, grams binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    texts = rows.filter("doc_id IS NOT NULL").select("text_hash", "text", cell.alias("cell"))
+    return texts.mapInArrow(task(needed), "node long, grams binary").join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, some: DataFrame, similarity: float) -> DataFrame:
     """Those (a, b) pairs whose sets, from (node, grams), have this Jaccard similarity."""
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +472,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 keep.append(common >= similarity * (len(both) - common) - _EPS)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = _grams_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), sets)
     joined = pairs.join(some.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(task(same), "a long, b long")
 
@@ -498,11 +534,13 @@ def _in_lists(rows: DataFrame, ranks, similarity: float) -> DataFrame:
     return dealt.mapInArrow(task(run), "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, text_hash, root, component_id): classes of texts whose word-shingle sets have this Jaccard similarity.
 
-    A radius of three bits in 64 finds only almost equal texts, so this works on the sets. In
-    one order of all shingles, sets this similar share one of their first: these are posted,
+    A radius of three bits in 64 finds only almost equal texts, so this works on the sets.
+    Classes known before, as (text_hash, class) rows such as those of fingerprint_classes(),
+    stay whole: their links join in, and pairs within one need no look. In one order of all
+    shingles, sets this similar share one of their first: these are posted,
     rare shingles first by a sample's counts, which changes the lists' lengths and not what is
     found. In a list, sizes and parity bits rule out pairs without loss, and what is left is
     verified on the sets. A long list gives a spanning forest of possible pairs first; where
@@ -517,10 +555,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
             found = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
-            grams = [h.tobytes() for h in found]
-            node = np.array([xxhash.xxh3_64_intdigest(g) if g else 0 for g in grams], np.uint64).view(np.int64)
-            arrays = [pa.array(node), pa.array([len(h) for h in found], pa.int64()), pa.array([parity_bits(h) for h in found], pa.binary()), pa.array(grams, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], ["doc_id", "text_hash", "node", "n", "bits", "grams"])
+            node = [_node(h.tobytes()) for h in found]
+            arrays = [pa.array(node, pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array([parity_bits(h) for h in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], ["doc_id", "text_hash", "node", "n", "bits"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -529,10 +566,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    fps = written(rows.mapInArrow(task(sets_of), "doc_id long, text_hash long, node long, n long, bits binary, grams binary"))
+    fps = written(rows.mapInArrow(task(sets_of), "doc_id long, text_hash long, node long, n long, bits binary"))
     sets = fps.filter("doc_id IS NOT NULL AND n > 0")
-    drawn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < min(1.0, SAMPLED / max(1, fps.count())) * (1 << 30)
-    often = sets.filter(drawn).select("node", "grams").dropDuplicates(["node"]).mapInArrow(task(each), "gram long").groupBy("gram").count().filter("count > 1")
+    texts = rows.filter("doc_id IS NOT NULL AND text <> ''")
+    drawn = F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30)) < min(1.0, SAMPLED / max(1, fps.count())) * (1 << 30)
+    often = _grams(texts.filter(drawn), words).dropDuplicates(["node"]).mapInArrow(task(each), "gram long").groupBy("gram").count().filter("count > 1")
     often = often.orderBy(F.col("count").desc(), "gram").limit(RANKED).select("gram").toArrow().column(0).to_numpy().view(np.uint64)
     order = np.argsort(often)
     ranks = spark.sparkContext.broadcast((often[order], -order))  # the most frequent last
@@ -540,12 +578,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, rank = ranks.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for node, g in zip(batch.column("node").to_pylist(), batch.column("grams"), strict=True):
-                if node not in seen:  # a copy in the same task
+            for text in batch.column("text").to_pylist():
+                h = shingle_set(text, words)
+                node = _node(h.tobytes())
+                if len(h) and node not in seen:  # a copy in the same task
                     seen.add(node)
-                    keys.append(prefix(np.frombuffer(g.as_buffer(), np.uint64), ranked, rank, similarity).view(np.int64))
+                    keys.append(prefix(h, ranked, rank, similarity).view(np.int64))
                     owners.append(np.full(len(keys[-1]), node))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "node"])
 
@@ -565,21 +605,34 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(node[new])], ["key", "node"])
             key, node, out = key[-1:], node[-1:], (out | keep)[-1:]
 
-    posted = sets.select("node", "grams").mapInArrow(task(post), "key long, node long")
+    posted = texts.select("text").mapInArrow(task(post), "key long, node long")
     met = written(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(task(together), "key long, node long"))
     bits = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    links = written(_verified(written(_candidates(met.join(bits, "node"), similarity)), sets, similarity))
+    named = sets.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    pairs = written(_candidates(met.join(bits, "node"), similarity))
+    if known is not None:
+        of_class = sets.select("node", "text_hash").distinct().join(known.select("text_hash", "class").distinct(), "text_hash")
+        stars = of_class.groupBy("class").agg(F.min("node").alias("b")).join(of_class, "class").select(F.col("node").alias("a"), "b").filter("a <> b")
+        stars = components(written(stars))
+        one = lambda c: stars.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        apart = pairs.join(one("a"), "a", "left").join(one("b"), "b", "left").filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+        pairs = written(apart.select("a", "b"))
+    some = _grams_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), named, rows, words)
+    links = _verified(pairs, some, similarity)
+    if known is not None:
+        links = links.unionByName(stars.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = written(links)
     long = written(met.groupBy("key").count().filter(F.col("count") > SHORT).select("key"))
     roots = components(links)
     if long.first():
         rooted = met.join(long, "key", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        rows = written(rooted.join(mixed, "key", "left_semi").join(bits.select("node", "n"), "node"))
-        parts = rows.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(PART)).cast("int").alias("parts"))
+        held = written(rooted.join(mixed, "key", "left_semi").join(bits.select("node", "n"), "node"))
+        parts = held.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(PART)).cast("int").alias("parts"))
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        rows = rows.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).join(_grams_of(rows, sets), "node")
-        more = _in_lists(rows, ranks, similarity)
+        dealt = held.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).join(_grams_of(held, named, rows, words), "node")
+        more = _in_lists(dealt, ranks, similarity)
         roots = components(written(links.unionByName(more)))
     named = fps.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
     named = named.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
