@@ -19,8 +19,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts with similar sets of five words (0.8 or more)."""
-    return simhash.keep_one(docs, written(simhash.similar_documents(docs)))
+    """One document of each class of near duplicates: op1's fingerprint links at up to three differing
+    bits, by its index, and those of texts whose sets of five words are similar (0.8 or more)."""
+
+    def classes() -> DataFrame:
+        by_bits = settled(spark, lambda: simhash.fingerprint_classes(docs), shared_dir(spark))
+        return simhash.similar_documents(docs, known=by_bits)
+
+    return simhash.keep_one(docs, settled(spark, classes, shared_dir(spark)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,19 @@ def test_query_with_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = sorted([str(v) for v in r] for r in got.collect())
     assert rows == sorted([str(r[i]) for i in order] for r in want.fetchall()) and rows
+
+
+def test_near_duplicates_by_fingerprint_links_and_sets(spark, docs_of, monkeypatch):
+    """Classes of op1's index are joined whatever their sets are, and no shingle sets are stored."""
+    rng, phrase = random.Random(4), "one two three four five six seven " * 60
+    say = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    docs = [phrase + say(40), phrase + say(40), *[say(400) for _ in range(40)]]
+    docs += [docs[5].replace(docs[5].split()[200], "changed"), docs[6] + " " + say(30), docs[7]]
+    bits = simhash.fingerprint(docs[0]) ^ simhash.fingerprint(docs[1])
+    assert bits.bit_count() <= 3 and len(set(simhash.shingle_set(docs[0])) & set(simhash.shingle_set(docs[1]))) < 20
+    df, made = docs_of([*enumerate(docs), (50, None), (51, "")]), []
+    real = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda d, *a: made.append(d.columns) or real(d, *a))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()}
+    assert kept == {0, *range(2, 42), 50}
+    assert made and not any("grams" in columns for columns in made)
