@@ -1,11 +1,14 @@
 """Best-fit packing of token pieces into sequences, hierarchically.
 
-Groups of bounded size pack their pieces best-fit, longest first. Bins with next to no room
-left are final. The others become single items of the next round, in which a fan of groups is
-packed together, and so on up a tree to one group. Only (bin, fill) pairs travel after the first
-round; where a piece lies follows from joining the rounds' small maps. Two bins over half full
-never fit together, and best fit leaves one other a group at most, so a group hands on a bounded
-number of its emptiest bins and the rest is final: no round grows with the table.
+Groups of bounded size pack their pieces best-fit, longest first. Full bins are final. The others
+become single items of the next round, in which a fan of groups is packed together, and so on up
+a tree to one group. Only (bin, fill) pairs travel after the first round; where a piece lies
+follows from joining the rounds' small maps.
+
+Two bins over half full never fit together, and best fit leaves one other a group at most. So
+above the first round nothing is ever put into a bin but one of these others, of which there are
+no more than groups. A group hands on as many of its emptiest bins as there were groups: whatever
+fits a bin that stays behind fits all of these, and one of them is left for it. Nothing is lost.
 """
 
 from __future__ import annotations
@@ -26,8 +29,6 @@ from loquela.llm.tokens import encoder
 CAPACITY = 2048
 #: Pieces in a group of the first round; groups that meet in a group of the next.
 GROUP, FAN = 50_000, 8
-#: A bin with this many free tokens or fewer is final.
-NEARLY = 8
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -103,7 +104,7 @@ def _round(items: DataFrame, level: int, capacity: int) -> DataFrame:
     return items.groupBy("g").applyInPandas(pack, f"{kinds}, offset long, fill long, bin long")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan: int = FAN, nearly: int = NEARLY) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan: int = FAN) -> DataFrame:
     """The rows of `items` (with doc_id, piece, length), each with sequence_id and offset.
 
     Sequences are gapless from offset 0 and hold at most `capacity`; no piece is split or
@@ -115,14 +116,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fan: in
     place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id are many alike
     dealt = items.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "length", place), F.lit(groups)).cast("long"))
     packed = written(_round(dealt, 0, capacity))
-    done = capacity - nearly
+    most = groups  # bins of up to half the capacity in all groups together
     emptiest = F.row_number().over(Window.partitionBy("g").orderBy("length", "bin"))
 
     def unfilled(rows: DataFrame) -> DataFrame:
-        """The bins of each group that may take something: its one bin of up to half the capacity, and the
-        emptiest others, as many as a group had pieces: more than small bins are left to be put in them."""
-        bins = rows.filter(F.col("fill") < done).groupBy("g", "bin").agg(F.first("fill").alias("length"))
-        return bins.withColumn("_n", emptiest).filter(F.col("_n") <= group).drop("_n")
+        """The bins of each group that may take something or be put into another: its emptiest, as many as there
+        are small bins anywhere, and one more, as its own small bin is the first of them."""
+        bins = rows.filter(F.col("fill") < capacity).groupBy("g", "bin").agg(F.first("fill").alias("length"))
+        return bins.withColumn("_n", emptiest).filter(F.col("_n") <= most + 1).drop("_n")
 
     open_bins = unfilled(packed)
     roots = open_bins.select("bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("shift"))

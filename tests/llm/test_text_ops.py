@@ -276,6 +276,15 @@ def test_packing(spark, docs_of):
     assert packing.pack(rows.drop("ids").limit(0)).count() == 0
 
 
+def test_packing_uses_every_free_token_of_other_groups(spark):
+    """Short pieces of one group fill bins of others to the last token, however few pieces a group has."""
+    for n in (5, 9, 14):
+        rows = [(i, 0, 2040) for i in range(n)] + [(100 + n, 0, 8)]
+        packed = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), group=1, fan=2).collect()
+        assert len(packed) == n + 1 and len({r["sequence_id"] for r in packed}) == n
+        assert sorted({r["offset"] for r in packed}) == [0, 2040]
+
+
 def test_pieces_that_never_combine_and_rows_without_an_id(spark):
     """Bins over half full stay final, small ones still find room in other groups, and rows alike are dealt apart."""
     rng = random.Random(3)
