@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loquela.llm import components, decontam, langid, packing, pii, simhash
+from loquela.llm import components, decontam, langid, packing, pii, simhash, tokens
 from loquela.llm.queries import _vocabulary
 
 
@@ -276,6 +276,18 @@ def test_packing(spark, docs_of):
     assert packing.pack(rows.drop("ids").limit(0)).count() == 0
 
 
+def test_words_stay_for_the_next_task_that_encodes():
+    """A cache outlives the tasks that use it, and goes with the first that doesn't."""
+    made = tokens.encoder(_vocabulary("byte_bpe_50k.json"), spaced=True)
+    ids = made.encode(["some words here"])
+    tokens.forget()
+    assert made.words and made.encode(["some words here"]) == ids
+    tokens.forget()
+    tokens.forget()
+    assert not made.words and not made.size and made.encode(["some words here"]) == ids
+    made.clear()
+
+
 def test_packing_uses_every_free_token_of_other_groups(spark):
     """Short pieces of one group fill bins of others to the last token, however few pieces a group has."""
     for n in (5, 9, 14):
