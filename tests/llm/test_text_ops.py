@@ -599,3 +599,18 @@ def test_cached_ids_are_the_tokenizers(name):
     tokenizer = Tokenizer.from_file(path)
     got = Encoder(path, spaced=name.startswith("byte")).encode([*odd, None])
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [*[tokenizer.encode(t, add_special_tokens=False).ids for t in odd], []]
+
+
+def test_recall_of_deletions_in_windows_of_30_words():
+    """Other items than those of the test above, with as many deletions as are allowed."""
+    rng, hit = random.Random(1), 0
+    for _ in range(100):
+        item = [f"r{rng.randint(0, 900)}" for _ in range(30)]
+        text = list(item)
+        for _ in range(decontam.allowed(30)):
+            del text[rng.randrange(len(text))]
+        text += [f"tail{i}" for i in range(36)]
+        a = decontam.cgk_keys(decontam._hashes(item)[None])[0]
+        b = decontam.cgk_keys(np.array([decontam._hashes(text[s : s + 30]) for s in range(7)]))
+        hit += bool((a == b).any())
+    assert hit >= 90
