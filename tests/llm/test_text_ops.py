@@ -614,3 +614,28 @@ def test_recall_of_deletions_in_windows_of_30_words():
         b = decontam.cgk_keys(np.array([decontam._hashes(text[s : s + 30]) for s in range(7)]))
         hit += bool((a == b).any())
     assert hit >= 90
+
+
+@pytest.mark.parametrize("name, words", [("byte_bpe_50k.json", 40), ("word_bpe_49k.json", 20)])
+def test_new_words_share_what_they_have_in_common(monkeypatch, name, words):
+    """Words with other points, line ends or letter case ask the library once for what they share, at any size of the cache."""
+    from tokenizers import Tokenizer
+
+    from loquela.llm.tokens import Encoder
+
+    path, rng = _vocabulary(name), random.Random(5)
+    tokenizer, made = Tokenizer.from_file(path), Encoder(path, spaced=name.startswith("byte"))
+    asked = []
+    fresh = made._fresh
+    monkeypatch.setattr(made, "_fresh", lambda new: asked.extend(new) or fresh(new))
+    known = [f"zw{a}{b}" for a in "abcdefghij" for b in "xy"]
+    texts = [" ".join(rng.choice(known) + rng.choice(["", "", ".", ",\n" + rng.choice(known), "!?"]) for _ in range(60)) for _ in range(50)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in made.encode(texts)] == want
+    assert len(asked) <= words  # at most each word after a space, and after a line end
+    odd = ["Eare", "été.", "İx", "İ.", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", "'s", "don't", "Σ.", "ǅ!", "ŉ.", "<|endoftext|>", "e\u0301", "\u0301", "?!", "x9@y.org", "日本", "  "]
+    monkeypatch.setattr(tokens, "CACHE", 4000)
+    for _ in range(200):
+        sep = rng.choice(["", " ", " ", "\n"])
+        some = [sep.join(rng.choice(odd) for _ in range(rng.randint(0, 10))) for _ in range(5)]
+        assert [np.frombuffer(g, "<u4").tolist() for g in made.encode(some)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
