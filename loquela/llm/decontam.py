@@ -15,6 +15,7 @@ of fixed size tells without loss.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ RATE, LEAST = 0.2, 5
 SCHEME = ((18, 24, 3), (32, 48, 3), (48, 24, 2))
 #: Longest window in words, and windows embedded at once.
 LONGEST, BLOCK = 48, 1 << 13
+#: Windows times repetitions that walk side by side, which stay within a processor's cache.
+CELLS = 1 << 14
 #: Tasks receive two tables of fixed size: the item sizes that each of 2^20 cells of word pairs
 #: occurs in, as bits (8 MB), and a bitmap of 2^22 cells of item keys (512 KB).
 PAIR_BITS, BITS = 20, 22
@@ -71,22 +74,50 @@ def keys_of(windows: np.ndarray) -> np.ndarray:
 def cgk_keys(windows: np.ndarray) -> np.ndarray:
     """[windows, repetitions] keys of [windows, size] word hashes, by sampled CGK walks."""
     n, size = windows.shape
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1).ravel()
-    base = np.arange(n) * (size + 1)
+    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
+    out = np.empty((n, next(n for most, n, _ in SCHEME if size <= most)), np.uint64)
+    some = max(1, CELLS // out.shape[1])
+    for i in range(0, n, some):
+        out[i : i + some] = _walked(padded[i : i + some])
+    return out
+
+
+@functools.cache
+def _walks(size: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """The repetitions of a window size by their last step, longest first; for each step the number of walks that
+    still go on, those that sample it, and their multipliers as a column."""
     repeats = next(n for most, n, _ in SCHEME if size <= most)
-    out = np.empty((n, repeats), np.uint64)
-    for r in range(repeats):
-        steps, odd = _constants(size, r)
-        at, end = base.copy(), base + size
-        key = np.full(n, (size * 64 + r) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, np.uint64)
-        for j in range(steps[-1] + 1):
-            word = padded[at]
-            if j in steps:
-                key = (key ^ word) * np.uint64(0xD6E8FEB86659FD93)
-                key ^= key >> np.uint64(32)
-            at += ((word * odd[j]) >> np.uint64(63)).astype(np.int64)
-            np.minimum(at, end, out=at)
-        out[:, r] = key
+    made = [_constants(size, r) for r in range(repeats)]
+    order = sorted(range(repeats), key=lambda r: -made[r][0][-1])
+    steps = []
+    for j in range(made[order[0]][0][-1] + 1):
+        live = sum(made[r][0][-1] >= j for r in order)
+        sampled = np.array([k for k, r in enumerate(order[:live]) if j in made[r][0]], np.int64)
+        steps.append((live, sampled, np.array([made[r][1][j] for r in order[:live]], np.uint64)[:, None]))
+    return np.array(order), steps
+
+
+def _walked(padded: np.ndarray) -> np.ndarray:
+    """cgk_keys() of windows with their pad, all repetitions side by side."""
+    n, size = padded.shape[0], padded.shape[1] - 1
+    order, steps = _walks(size)
+    base, flat = np.arange(n) * (size + 1), padded.ravel()
+    end = base + size
+    at = np.repeat(base[None], len(order), axis=0)
+    start = [(size * 64 + r) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for r in order.tolist()]
+    key = np.repeat(np.array(start, np.uint64)[:, None], n, axis=1)
+    for live, sampled, odd in steps:
+        at = at[:live]
+        word = flat[at]
+        if len(sampled):
+            mixed = (key[sampled] ^ word[sampled]) * np.uint64(0xD6E8FEB86659FD93)
+            key[sampled] = mixed ^ mixed >> np.uint64(32)
+        word *= odd
+        word >>= np.uint64(63)
+        at += word.view(np.int64)
+        np.minimum(at, end, out=at)
+    out = np.empty((n, len(order)), np.uint64)
+    out[:, order] = key.T
     return out
 
 
@@ -132,6 +163,26 @@ def _pairs(hashes: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
+def needed(size: int) -> int:
+    """Word pairs that a window within the allowed distance has in common with its item at least."""
+    return max(1, size - 1 - 2 * allowed(size))
+
+
+def dense(known: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Places of word pairs, in order, without those that are in no window with enough pairs of items, whatever their size."""
+    several = [s for s in sizes if s > 1]
+    if not several or not len(known):
+        return np.arange(len(known))
+    least, span = min(map(needed, several)), max(several) - 1
+    total = np.concatenate([[0], np.cumsum(known != 0, dtype=np.int32)])
+    ends = np.minimum(np.arange(len(known)) + span, len(known))
+    begin = np.flatnonzero(total[ends] - total[:-1] >= least)
+    cover = np.zeros(len(known) + 1, np.int32)
+    np.add.at(cover, begin, 1)
+    np.subtract.at(cover, ends[begin], 1)
+    return np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+
+
 def _item_keys(items: DataFrame) -> DataFrame:
     """(item_id, size, at, n_words, key) rows: keys of every part of every item with a word."""
 
@@ -187,13 +238,18 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def near(hashes: np.ndarray, known: np.ndarray, key_bits: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(starts, size, keys) of windows with a key among the items' cells; known: each word pair's item sizes."""
+        zone = dense(known, sizes)
+        known = known[zone]
         for size in sizes:
             if len(hashes) < size:
                 continue
             pairs = size - 1
             if pairs:
+                if len(zone) < pairs:
+                    continue
                 total = np.concatenate([[0], np.cumsum(known >> np.uint64(pairs) & np.uint64(1), dtype=np.int32)])
-                starts = np.flatnonzero(total[pairs:] - total[:-pairs] >= max(1, pairs - 2 * allowed(size)))
+                starts = np.flatnonzero(total[pairs:] - total[:-pairs] >= needed(size))
+                starts = zone[starts[zone[starts + pairs - 1] - zone[starts] == pairs - 1]]  # not over a gap between zones
             else:
                 starts = np.arange(len(hashes))
             starts = starts[hashes[starts] != 0]

@@ -639,3 +639,39 @@ def test_new_words_share_what_they_have_in_common(monkeypatch, name, words):
         sep = rng.choice(["", " ", " ", "\n"])
         some = [sep.join(rng.choice(odd) for _ in range(rng.randint(0, 10))) for _ in range(5)]
         assert [np.frombuffer(g, "<u4").tolist() for g in made.encode(some)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
+@pytest.mark.parametrize("size", [5, 18, 19, 33, 48])
+def test_walks_side_by_side_are_single_walks(monkeypatch, size):
+    """Keys are those of walks taken one by one, and a size's walks are drawn once, not for each block of windows."""
+    windows = np.random.default_rng(size).integers(0, 1 << 63, (700, size), dtype=np.uint64) | np.uint64(1)
+    windows[3, size // 2 :] = 0
+    drawn, draw = [], decontam._constants
+    monkeypatch.setattr(decontam, "_constants", lambda *a: drawn.append(a) or draw(*a))
+    found = np.concatenate([decontam.cgk_keys(windows[:50]), decontam.cgk_keys(windows[50:])])
+    repeats = next(n for most, n, _ in decontam.SCHEME if size <= most)
+    assert len(drawn) <= repeats and found.shape == (700, repeats)
+    for i in (0, 3, 49, 50, 699):
+        text = [*windows[i].tolist(), 0]
+        for r in range(repeats):
+            steps, odd = draw(size, r)
+            at, key = 0, (size * 64 + r) * 0x9E3779B97F4A7C15 % 2**64
+            for j in range(steps[-1] + 1):
+                if j in steps:
+                    key = (key ^ text[at]) * 0xD6E8FEB86659FD93 % 2**64
+                    key ^= key >> 32
+                at = min(at + (text[at] * int(odd[j]) % 2**64 >> 63), size)
+            assert int(found[i, r]) == key
+
+
+def test_dense_places_hold_every_window():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(0, 300))
+        known = np.where(rng.random(n) < rng.random(), rng.integers(0, 1 << 48, n), 0).astype(np.uint64)
+        sizes = sorted(set(rng.choice([1, 2, 3, 5, 8, 15, 20, 30, 48], 3).tolist()))
+        zone = set(decontam.dense(known, sizes).tolist())
+        for size in sizes:
+            for i in range(n - size + 2 if size > 1 else 0):
+                if int((known[i : i + size - 1] >> np.uint64(size - 1) & np.uint64(1)).sum()) >= decontam.needed(size):
+                    assert zone.issuperset(range(i, i + size - 1))
