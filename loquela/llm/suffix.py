@@ -34,6 +34,8 @@ LENGTH, GRAM = 100, 24
 HELD, CHUNK, SHARD, HOT = 2_000_000, 1 << 18, 1 << 20, 4 << 20
 #: Letters of an alphabet at most: names over this are written as several letters.
 LETTERS = 1024
+#: Positions of a wave that are placed one by one.
+FEW = 48
 
 
 # Induced sorting
@@ -59,11 +61,18 @@ def _induce(x: np.ndarray, s_type: np.ndarray, lms: np.ndarray, heads: np.ndarra
     out = np.full(n, -1, np.int64)
 
     def place(j: np.ndarray, free: np.ndarray, way: int) -> None:
-        order = np.argsort(x[j], kind="stable")
-        j = j[order]
-        c = x[j].astype(np.int64)
+        if len(j) <= FEW:  # most waves of small inputs: steps cost more than letters
+            for at in j.tolist():
+                c = x[at]
+                to = free[c]
+                out[to] = at
+                free[c] = to + way
+            return
+        c = x[j]
+        order = c.argsort(kind="stable")
+        j, c = j[order], c[order].astype(np.int64)
         count = np.bincount(c, minlength=letters)
-        rank = np.arange(len(j)) - (np.cumsum(count) - count)[c]
+        rank = np.arange(len(j)) - (count.cumsum() - count)[c]
         out[free[c] + way * rank] = j
         free += way * count
 

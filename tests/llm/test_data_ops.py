@@ -362,3 +362,13 @@ def test_slices():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * n for n in (5, 50, 5, 5, 500, 1)] + [None]})
     got = [s.column("text").to_pylist() for s in in_slices(iter([batch]), "text", 60)]
     assert [len(s) for s in got] == [3, 1, 1, 2] and sum(got, []) == batch.column("text").to_pylist()
+
+
+def test_small_waves_of_induced_sorting_take_no_array_steps(monkeypatch):
+    """Most waves hold a few positions; those are placed one by one, and the order is that of the suffixes."""
+    rng, steps, count = random.Random(8), [], np.bincount
+    text = "".join(rng.choice(["the ", "of ", "a", "b", "passage ", "c d "]) for _ in range(2000)).encode()
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: steps.append(1) or count(*a, **k))
+    found = suffix.suffix_array(np.frombuffer(text, np.uint8))
+    assert found.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    assert len(steps) < 300
