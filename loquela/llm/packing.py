@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CA
         encode, end = encoder(vocabulary, spaced=True).encode, np.array([end_id], "<u4").tobytes()
         for batch in in_slices(batches, "text"):
             owner, rows = [], []
-            for i, ids in enumerate(encode(batch.column("text").to_pylist())):
+            for i, ids in enumerate(encode(batch.column("text"))):
                 ids += end
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + n)]

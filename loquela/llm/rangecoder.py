@@ -12,10 +12,13 @@ A file is a row of sections. A section is the magic, a JSON header (length-prefi
 checksum), then the blocks, each preceded by its id count, payload bytes and the CRC-32 of its
 ids. The header lists the section's documents with their lengths, so a reader can map ids to
 documents; neither writer nor reader holds more than a section (a document is never divided).
+
+RangeCoder.java codes single blocks with the same model to the same bytes, for Spark's tasks.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
 import zlib
@@ -228,18 +231,28 @@ def checked(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.uint16)
 
 
+def section_head(n: int, doc_ids: list[int | None], lengths: list[int]) -> bytes:
+    """What stands in front of the blocks of a section with n ids."""
+    head = zlib.compress(json.dumps({"docs": doc_ids, "lengths": lengths}).encode())
+    return MAGIC + struct.pack("<QII", n, len(head), zlib.crc32(head)) + head
+
+
+def block_head(n: int, payload_bytes: int, crc: int) -> bytes:
+    """What stands in front of a block's payload."""
+    return struct.pack("<III", n, payload_bytes, crc)
+
+
 def encode_section(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> Iterator[bytes]:
     """The pieces of a section that holds the ids of some documents."""
     ids = checked(ids)
-    head = zlib.compress(json.dumps({"docs": doc_ids, "lengths": lengths}).encode())
-    yield MAGIC + struct.pack("<QII", len(ids), len(head), zlib.crc32(head)) + head
+    yield section_head(len(ids), doc_ids, lengths)
     sizes = _block_sizes(len(ids))
     for k in range(0, len(sizes), LANES):
         part = sizes[k : k + LANES]
         now = ids[k * BLOCK : k * BLOCK + sum(part)].astype("<u4")
         for j, payload in enumerate(encode_blocks(now, part)):
             crc = zlib.crc32(now[j * BLOCK : j * BLOCK + part[j]].tobytes())
-            yield struct.pack("<III", part[j], len(payload), crc) + payload
+            yield block_head(part[j], len(payload), crc) + payload
 
 
 def _exactly(f, n: int) -> bytes:
@@ -249,43 +262,53 @@ def _exactly(f, n: int) -> bytes:
     return data
 
 
-def sections(f) -> Iterator[tuple[list[int | None], list[int], Iterator[np.ndarray]]]:
-    """(doc_ids, lengths, chunks of ids) of each section of a file object; a section's chunks are
-    read before the next one. Raises ValueError where the file is damaged or empty."""
+def stored(f) -> Iterator[tuple[list[int | None], list[int], Iterator[tuple[int, bytes, int]]]]:
+    """(doc_ids, lengths, blocks as they are stored: id count, payload and CRC-32) of each section of a file
+    object; a section's blocks are read before the next one. Raises ValueError where the file is damaged or empty."""
     magic = f.read(8)
     while True:
         if magic != MAGIC:
             raise ValueError("not a token file")
-        yield _section(f)
+        total, size, crc = struct.unpack("<QII", _exactly(f, 16))
+        head = _exactly(f, size)
+        if zlib.crc32(head) != crc:
+            raise ValueError("the header's checksum is wrong")
+        docs = json.loads(zlib.decompress(head))
+        yield docs["docs"], docs["lengths"], _blocks(f, total)
         magic = f.read(8)
         if not magic:
             return
 
 
-def _section(f) -> tuple[list[int | None], list[int], Iterator[np.ndarray]]:
-    total, size, crc = struct.unpack("<QII", _exactly(f, 16))
-    head = _exactly(f, size)
-    if zlib.crc32(head) != crc:
-        raise ValueError("the header's checksum is wrong")
-    docs = json.loads(zlib.decompress(head))
-
-    def chunks() -> Iterator[np.ndarray]:
-        left = total
-        while left:
-            payloads, sizes, crcs = [], [], []
-            while left and len(sizes) < LANES:
-                n, size, crc = struct.unpack("<III", _exactly(f, 12))
-                if not 0 < n <= min(left, BLOCK):
-                    raise ValueError("a block's id count is wrong")
-                payloads.append(_exactly(f, size))
-                sizes.append(n)
-                crcs.append(crc)
-                left -= n
-            ids, at = decode_blocks(payloads, sizes).astype("<u4"), 0
+def _blocks(f, left: int) -> Iterator[tuple[int, bytes, int]]:
+    while left:
+        n, size, crc = struct.unpack("<III", _exactly(f, 12))
+        if not 0 < n <= min(left, BLOCK):
+            raise ValueError("a block's id count is wrong")
+        yield n, _exactly(f, size), crc
+        left -= n
+
+
+def verified(ids: np.ndarray, crc: int) -> np.ndarray:
+    """A block's ids, in 32 bits."""
+    ids = ids.astype("<u4")
+    if zlib.crc32(ids.tobytes()) != crc:
+        raise ValueError("a block's checksum is wrong")
+    return ids
+
+
+def sections(f) -> Iterator[tuple[list[int | None], list[int], Iterator[np.ndarray]]]:
+    """(doc_ids, lengths, chunks of ids) of each section of a file object; a section's chunks are
+    read before the next one. Raises ValueError where the file is damaged or empty."""
+
+    def chunks(blocks: Iterator[tuple[int, bytes, int]]) -> Iterator[np.ndarray]:
+        while part := list(itertools.islice(blocks, LANES)):
+            sizes, payloads, crcs = zip(*part, strict=True)
+            ids, at = decode_blocks(payloads, sizes), 0
             for n, crc in zip(sizes, crcs, strict=True):
-                if zlib.crc32(ids[at : at + n].tobytes()) != crc:
-                    raise ValueError("a block's checksum is wrong")
+                verified(ids[at : at + n], crc)
                 at += n
-            yield ids
+            yield ids.astype("<u4")
 
-    return docs["docs"], docs["lengths"], chunks()
+    for doc_ids, lengths, blocks in stored(f):
+        yield doc_ids, lengths, chunks(blocks)

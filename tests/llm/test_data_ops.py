@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loquela.llm import htmltext, rangecoder, suffix, tokenfile, topk, warc
+from loquela.llm import compiled, htmltext, rangecoder, suffix, tokenfile, topk, warc
 from loquela.llm._shared import in_slices, shared_dir
 from loquela.llm.queries import _vocabulary
 
@@ -372,3 +372,29 @@ def test_small_waves_of_induced_sorting_take_no_array_steps(monkeypatch):
     found = suffix.suffix_array(np.frombuffer(text, np.uint8))
     assert found.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
     assert len(steps) < 300
+
+
+def test_tasks_code_in_java_to_the_same_bytes(spark, tmp_path, monkeypatch):
+    """Spark's tasks never step through array operations; their files are those of the Python coder, and damage shows."""
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, 65_536, 4096), rng.zipf(1.3, 4096) % 50_000, np.zeros(4000, int), np.full(300, 65_535), rng.integers(0, 40, 77), np.array([5])]
+    blocks = [b.astype("<u2") for b in blocks]
+    payloads = rangecoder.encode_blocks(np.concatenate(blocks).astype("<u4"), [len(b) for b in blocks])
+    code, back = (compiled.function(spark, "RangeCoder.java", f"RangeCoder${x}", "binary") for x in ("Encode", "Decode"))
+    rows = spark.createDataFrame([(i, len(b), bytearray(b.tobytes())) for i, b in enumerate(blocks)], "i int, n int, ids binary").repartition(2)
+    found = rows.withColumn("p", F.call_function(code, "ids")).withColumn("back", F.call_function(back, "p", "n")).collect()
+    assert {r["i"]: bytes(r["p"]) for r in found} == dict(enumerate(payloads)) and all(r["back"] == r["ids"] for r in found)
+    assert spark.createDataFrame([(bytearray(rng.bytes(50)), 4096)], "p binary, n int").select(F.length(F.call_function(back, "p", "n"))).first()[0] == 8192
+
+    folder = f"file://{tmp_path}/files"
+    docs = spark.createDataFrame([(i, " ".join(["some words"] * 30 * i)) for i in range(200)], "doc_id long, text string")
+    listing = [tuple(r) for r in tokenfile.write_files(docs, folder, _vocabulary("word_bpe_49k.json")).select("part", "path", "n_ids").collect()]
+    path = listing[0][1]
+    with open(path, "rb") as f:
+        data = f.read()
+    ids = np.concatenate([x for _, _, c in rangecoder.sections(io.BytesIO(data)) for x in c])
+    assert len(ids) == listing[0][2]
+    with open(path, "wb") as f:
+        f.write(data[:-60] + bytes([data[-60] ^ 1]) + data[-59:])
+    with pytest.raises(Exception, match="checksum"):
+        tokenfile.read_files(spark, folder, listing).collect()
