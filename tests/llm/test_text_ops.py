@@ -675,3 +675,46 @@ def test_dense_places_hold_every_window():
             for i in range(n - size + 2 if size > 1 else 0):
                 if int((known[i : i + size - 1] >> np.uint64(size - 1) & np.uint64(1)).sum()) >= decontam.needed(size):
                     assert zone.issuperset(range(i, i + size - 1))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_bounded_cache_holds_what_its_words_take(monkeypatch, name):
+    """Short words take their bytes and ids and little beside, so a cache of 1 MB still knows the first of 6,000 words."""
+    from tokenizers import Tokenizer
+
+    path, rng = _vocabulary(name), random.Random(6)
+    tokenizer, made = Tokenizer.from_file(path), tokens.Encoder(path, spaced=name.startswith("byte"))
+    monkeypatch.setattr(tokens, "CACHE", 1 << 20)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(6000)]
+    texts = [" ".join(words[i : i + 600]) for i in range(0, 6000, 600)]
+    first = [made.encode([t])[0] for t in texts]
+    asked, fresh = [], made._fresh
+    monkeypatch.setattr(made, "_fresh", lambda new: asked.extend(new) or fresh(new))
+    assert [made.encode([t])[0] for t in texts] == first and not asked
+    assert np.frombuffer(first[3], "<u4").tolist() == tokenizer.encode(texts[3], add_special_tokens=False).ids
+    made.encode([words[0] + x for x in ("***", "%%%", "###.", "&$")])
+    assert len(asked) <= 1  # signs are pieces of their own
+
+
+def test_word_table():
+    """Words of every length, zero bytes and words that begin others: as a dictionary has them, in both halves."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    for most in (2, 30):
+        table, plain = tokens._Words(), {}
+        for _ in range(40):
+            words = list({"".join(rng.choice("ab\0é") for _ in range(rng.randint(0, most))) for _ in range(rng.randint(0, 200))})
+            array = pa.array(words, pa.large_string())
+            keys, short, longer = tokens._keys(array)
+            assert [len(words[i].encode()) <= 23 for i in sorted([*short, *longer])] == [i in set(short.tolist()) for i in range(len(words))]
+            at = table.find(keys)
+            assert [x >= 0 for x in at] == [words[i] in plain for i in short]
+            new = np.flatnonzero(at < 0)
+            ids = [[rng.randrange(1 << 31) for _ in range(rng.randint(0, 4))] for _ in new]
+            plain.update(zip([words[short[i]] for i in new], ids, strict=True))
+            at[new] = table.add(keys[new], np.array(sum(ids, []), "<u4"), np.array([len(x) for x in ids], np.int64))
+            assert [np.frombuffer(x, "<u4").tolist() for x in table.ids(at).to_pylist()] == [plain[words[i]] for i in short]
+        assert len(table) == len(plain)
+        unseen = np.full(len(keys), -1)
+        assert sum(len(new) for new, _ in table.found(keys, unseen)) == len(keys) or not len(keys)
