@@ -32,7 +32,7 @@ def _loader(spark: SparkSession, source: str):
 def function(spark: SparkSession, source: str, name: str, kind: str) -> str:
     """Make a class of a source file in this folder, an implementation of Spark's UDF interfaces, a function of this
     session that returns `kind`. Returns the function's name."""
-    known = f"loquela_{name.rsplit('$', 1)[-1].lower()}"
+    known = f"loquela_{name.replace('$', '_').lower()}"
     key = spark._jsparkSession.sessionUUID(), known
     if key not in _known:
         made = _loader(spark, source).loadClass(f"loquela.{name}").getDeclaredConstructor(None).newInstance(None)

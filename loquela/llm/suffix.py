@@ -6,7 +6,8 @@ of windows with one such gram travel as one segment. Copies of a whole segment a
 128-bit BLAKE2 digest and its gram: the first stays, the others are repeats. Of the rest only
 segments whose gram occurs in another segment go on, as bytes, to shards. A shard builds the
 suffix array of its segments by induced sorting, permuted common prefixes tell which neighbours
-share a window, and in every group of equal windows all but the first are repeats.
+share a window, and in every group of equal windows all but the first are repeats. Tasks do this
+in Java (SuffixRepeats.java); repeats() is the same over arrays, and tests hold them together.
 
 A gram with more contexts than a shard holds is split by its neighbours' bytes: a window goes on
 under the gram and half of its other bytes, those on the gram's longer side, which equal windows
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loquela.llm import compiled
 from loquela.llm._shared import in_slices, task, written
 
 LENGTH, GRAM = 100, 24
@@ -198,7 +200,8 @@ def common_prefixes(x: np.ndarray, sa: np.ndarray) -> np.ndarray:
 def repeats(segments: list[bytes], windows: list[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(segment, first, last) runs of windows that an earlier segment (or place) of the shard has.
 
-    Segments come in document order; each has its first `windows` starts in question.
+    Segments come in document order; each has its first `windows` starts in question. What
+    SuffixRepeats.java does for Spark's tasks.
     """
     x = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.array([len(s) for s in segments])
@@ -270,10 +273,11 @@ _KEYS = ["h", "s", "s2", "doc_id", "ord", "start"]
 _ROW = "h long, s long, s2 long, doc_id long, ord int, start long, n int, again boolean"
 _SEGMENT = "h long, s long, s2 long, doc_id long, ord int, start long, n int, again boolean, lo int, hi int, segment binary"
 _SPAN = "doc_id long, ord int, start long, n int"
+_SHARD = "doc_id array<long>, ord array<int>, start array<long>, sizes binary, windows binary, segments binary"
 
 
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     names = [x.split() for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], [n for n, _ in names])
 
@@ -378,17 +382,16 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by (h, doc_id, ord, start): suffix arrays of whole gram groups, some together."""
+    """Segments sorted by (h, doc_id, ord, start): shards of whole gram groups, some together, each a row."""
     held: list[tuple] = []
     size = 0
 
     def settle() -> pa.RecordBatch:
         nonlocal size
-        found = repeats([r[5] for r in held], [r[4] for r in held])
-        rows = [(held[i][1], held[i][2], held[i][3] + a, b - a + 1) for i, a, b in found]
+        _, doc, ord_, start, n, segments = zip(*held, strict=True)
         held.clear()
         size = 0
-        return _batch(_SPAN, list(zip(*rows, strict=True)) or [()] * 4)
+        return _batch(_SHARD, [[doc], [ord_], [start], [np.array([len(x) for x in segments], "<i4").tobytes()], [np.array(n, "<i4").tobytes()], [b"".join(segments)]])
 
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in ("h", "doc_id", "ord", "start", "n", "segment")], strict=True):
@@ -400,6 +403,14 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle()
 
 
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents' runs of windows that shards found in their segments."""
+    for batch in batches:
+        for doc, ord_, start, found in zip(*[batch.column(c) for c in ("doc_id", "ord", "start", "found")], strict=True):
+            who, first, last = np.frombuffer(found.as_py(), "<i4").reshape(-1, 3).T.astype(np.int64)
+            yield _batch(_SPAN, [doc.values.to_numpy()[who], ord_.values.to_numpy()[who], start.values.to_numpy()[who] + first, last - first + 1])
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted segments' bytes, and where their gram lies in them."""
     for batch in in_slices(batches, "text"):
@@ -481,9 +492,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         again.append(parts.filter("again"))
         live = parts.filter("NOT again")
     found = [x.select("doc_id", "ord", "start", "n") for x in again]
+    code = compiled.function(docs.sparkSession, "SuffixRepeats.java", "SuffixRepeats", "binary")
     for x in shards:
         dealt = x.select("h", "doc_id", "ord", "start", "n", "segment").repartition("h").sortWithinPartitions("h", "doc_id", "ord", "start")
-        found.append(dealt.mapInArrow(task(_shards), _SPAN))
+        shard = dealt.mapInArrow(task(_shards), _SHARD)
+        shard = shard.select("doc_id", "ord", "start", F.call_function(code, "sizes", "windows", "segments", F.lit(LENGTH)).alias("found"))
+        found.append(shard.mapInArrow(task(_found), _SPAN))
     again = found[0]
     for x in found[1:]:
         again = again.unionByName(x)

@@ -398,3 +398,42 @@ def test_tasks_code_in_java_to_the_same_bytes(spark, tmp_path, monkeypatch):
         f.write(data[:-60] + bytes([data[-60] ^ 1]) + data[-59:])
     with pytest.raises(Exception, match="checksum"):
         tokenfile.read_files(spark, folder, listing).collect()
+
+
+def test_shards_in_java_find_what_arrays_find(spark, monkeypatch):
+    """Runs of the array form and of brute force, for deep recursions too; no task takes array steps for a suffix array."""
+    rng, cases = random.Random(9), []
+    say = lambda letters, n: bytes(rng.choice(letters) for _ in range(n))
+    fib = [b"a", b"ab"]
+    while len(fib[-1]) < 900:
+        fib.append(fib[-1] + fib[-2])
+    for letters, most in ((b"a", 40), (b"ab", 60), (b"ab", 400), (bytes(range(256)), 200), (b"abc", 3000)):
+        for length in (1, 2, 5, 12):
+            passage = say(letters, most)
+            segments = [rng.choice([say(letters, rng.randint(0, most)), passage[rng.randint(0, most) :], fib[-1][rng.randint(0, 50) :]]) for _ in range(rng.randint(1, 12))]
+            segments = [x + say(letters, length) for x in segments]
+            cases.append((length, [max(0, len(x) - length + 1 - rng.randint(0, 2)) for x in segments], segments))
+    little = lambda x: bytearray(np.array(x, "<i4").tobytes())
+    rows = [(i, little([len(x) for x in s]), little(w), bytearray(b"".join(s)), n) for i, (n, w, s) in enumerate(cases)]
+    code = compiled.function(spark, "SuffixRepeats.java", "SuffixRepeats", "binary")
+    table = spark.createDataFrame(rows, "i int, sizes binary, windows binary, segments binary, length int")
+    found = {r["i"]: np.frombuffer(r["f"], "<i4").reshape(-1, 3).tolist() for r in table.select("i", F.call_function(code, "sizes", "windows", "segments", "length").alias("f")).collect()}
+    for i, (length, windows, segments) in enumerate(cases):
+        seen, want = set(), []
+        for k, (x, n) in enumerate(zip(segments, windows, strict=True)):
+            for at in range(n):
+                w = x[at : at + length]
+                if w in seen and want and want[-1][0] == k and want[-1][2] == at - 1:
+                    want[-1][2] = at
+                elif w in seen:
+                    want.append([k, at, at])
+                seen.add(w)
+        assert found[i] == want == [list(r) for r in suffix.repeats(segments, windows, length)]
+
+    def fail(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(suffix, "suffix_array", fail)
+    batch = suffix._batch(suffix._SEGMENT, [[7, 7], [0, 0], [0, 0], [1, 2], [0, 0], [0, 5], [1, 1], [False] * 2, [0, 0], [24, 24], [b"x" * 100] * 2])
+    shard = next(suffix._shards(iter([batch])))
+    assert shard.column("start").to_pylist() == [[0, 5]] and shard.column("segments").to_pylist() == [b"x" * 200]
