@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,7 +22,9 @@ def _loader(spark: SparkSession, source: str):
     if key not in _sent:
         compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
         compiler.cook((Path(__file__).parent / source).read_text())
-        jar = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="loquela-")), f"{Path(source).stem}.jar")
+        folder = os.path.realpath(tempfile.mkdtemp(prefix="loquela-"))  # the driver serves it to executors until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        jar = os.path.join(folder, f"{Path(source).stem}.jar")
         with zipfile.ZipFile(jar, "w") as file:
             for name, code in compiler.getBytecodes().items():
                 file.writestr(name.replace(".", "/") + ".class", bytes(code))
