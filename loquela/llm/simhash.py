@@ -476,15 +476,16 @@ def _verified(pairs: DataFrame, some: DataFrame, similarity: float) -> DataFrame
     return joined.select("a", "b", "x", "y").mapInArrow(task(same), "a long, b long")
 
 
-def list_links(key: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def list_links(key: int | None, own: np.ndarray, node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], order: tuple[np.ndarray, np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """(a, b) nodes of one list whose sets are this similar, enough to join what is one class.
 
     Only pairs of different roots are looked at, and of those that met none of the same part
     (own), where there are two. Where a set has the key in its order bounds what it can share
-    with another, if the key is the first they share; then sizes and parity bits, then the sets.
+    with another, if the key is the first they share (no key: no such bound); then sizes and
+    parity bits, then the sets.
     """
     n = np.array([len(h) for h in sets], np.int64)
-    at = np.array([int(np.flatnonzero(prefix(h, *order, similarity) == np.uint64(key))[0]) for h in sets])
+    at = np.array([0 if key is None else int(np.flatnonzero(prefix(h, *order, similarity) == np.uint64(key))[0]) for h in sets])
     bounds = _Bounds(n, [parity_bits(h, 8) for h in sets], similarity)
     value, letter = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.cumsum(n) - n
@@ -509,28 +510,28 @@ def list_links(key: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, se
     return found
 
 
-def _in_lists(rows: DataFrame, ranks, similarity: float) -> DataFrame:
-    """(a, b) links of list_links() for (key, own, low, high, node, root, grams) rows: a task holds one pair of parts of a list."""
+def _in_groups(rows: DataFrame, ranks, similarity: float) -> DataFrame:
+    """(a, b) links of list_links() for (grp, own, low, high, node, root, grams) rows: a task holds one pair of parts of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def settle() -> pa.RecordBatch:
             _, own, node, root, grams = zip(*held, strict=True)
-            links = list_links(held[0][0][0] & 0xFFFFFFFFFFFFFFFF, np.array(own), np.array(node), np.array(root), [np.frombuffer(g, np.uint64) for g in grams], ranks.value, similarity)
+            links = list_links(None, np.array(own), np.array(node), np.array(root), [np.frombuffer(g, np.uint64) for g in grams], ranks.value, similarity)
             held.clear()
             pairs = np.array(links, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=1 << 62)), pa.array(pairs.max(axis=1, initial=-1 << 62))], ["a", "b"])
 
         for batch in batches:
-            for key, low, high, own, node, root, grams in zip(*[batch.column(c).to_pylist() for c in ("key", "low", "high", "own", "node", "root", "grams")], strict=True):
-                if held and held[0][0] != (key, low, high):
+            for grp, low, high, own, node, root, grams in zip(*[batch.column(c).to_pylist() for c in ("grp", "low", "high", "own", "node", "root", "grams")], strict=True):
+                if held and held[0][0] != (grp, low, high):
                     yield settle()
-                held.append(((key, low, high), own, node, root, grams))
+                held.append(((grp, low, high), own, node, root, grams))
         if held:
             yield settle()
 
-    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "node")
+    dealt = rows.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high", "n", "node")
     return dealt.mapInArrow(task(run), "a long, b long").distinct()
 
 
@@ -544,8 +545,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rare shingles first by a sample's counts, which changes the lists' lengths and not what is
     found. In a list, sizes and parity bits rule out pairs without loss, and what is left is
     verified on the sets. A long list gives a spanning forest of possible pairs first; where
-    these, verified, leave it in several classes, its sets are compared across the classes in
-    the list's own tasks, two bounded parts of it at a time, and only links come out.
+    these, verified, leave a group of sets joined by possible pairs in several classes, these are
+    compared across the classes in tasks of their own, two bounded parts of a group at a time,
+    and only links come out. A set goes there once, however many lists it is in.
     Equal sets are one node, named by a 64-bit hash. root names the class, text_hash the row's
     text, for ids that several texts share. component_id is the smallest id reachable; nulls and
     repeats are as in near_duplicates().
@@ -609,7 +611,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = written(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(task(together), "key long, node long"))
     bits = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     named = sets.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    pairs = written(_candidates(met.join(bits, "node"), similarity))
+    pairs = possible = written(_candidates(met.join(bits, "node"), similarity))
     if known is not None:
         of_class = sets.select("node", "text_hash").distinct().join(known.select("text_hash", "class").distinct(), "text_hash")
         stars = of_class.groupBy("class").agg(F.min("node").alias("b")).join(of_class, "class").select(F.col("node").alias("a"), "b").filter("a <> b")
@@ -625,14 +627,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     long = written(met.groupBy("key").count().filter(F.col("count") > SHORT).select("key"))
     roots = components(links)
     if long.first():
-        rooted = met.join(long, "key", "left_semi").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        held = written(rooted.join(mixed, "key", "left_semi").join(bits.select("node", "n"), "node"))
-        parts = held.groupBy("key").agg(F.ceil(F.sum("n") / F.lit(PART)).cast("int").alias("parts"))
+        # similar sets of a list are joined by its possible pairs: what these leave apart needs no look
+        groups = components(possible).withColumnRenamed("root", "grp")
+        rooted = met.join(long, "key", "left_semi").join(groups, "node").join(roots, "node", "left").select("key", "grp", "node", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("key", "grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "grp")
+        held = rooted.join(mixed, ["key", "grp"], "left_semi").select("grp", "node", "root").distinct()  # once, however many lists
+        held = written(held.join(bits.select("node", "n"), "node"))
+        parts = held.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(PART)).cast("int").alias("parts"))
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        dealt = held.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = held.join(parts, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).join(_grams_of(held, named, rows, words), "node")
-        more = _in_lists(dealt, ranks, similarity)
+        more = _in_groups(dealt, ranks, similarity)
         roots = components(written(links.unionByName(more)))
     named = fps.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
     named = named.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))

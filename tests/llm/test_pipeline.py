@@ -77,3 +77,26 @@ def test_near_duplicates_by_fingerprint_links_and_sets(spark, docs_of, monkeypat
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()}
     assert kept == {0, *range(2, 42), 50}
     assert made and not any("grams" in columns for columns in made)
+
+
+def test_long_lists_compare_groups_of_possible_pairs_once(spark, docs_of, monkeypatch):
+    """Of lists of a hundred sets, those that may be similar to another meet, once; same classes as brute force."""
+    rng, sent = random.Random(7), []
+    say = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    common = say(16)
+    texts = [[*common, *say(14)] for _ in range(100)]
+    texts += [t[:-k] + say(k) for t in texts[:30] for k in (2, 3)]
+    docs = [" ".join(t) for t in texts]
+    sets = [set(simhash.shingle_set(d).tolist()) for d in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    monkeypatch.setattr(simhash, "RANKED", 0)
+    name = "_in_groups" if hasattr(simhash, "_in_groups") else "_in_lists"
+    real = getattr(simhash, name)
+    monkeypatch.setattr(simhash, name, lambda rows, *a: sent.append((rows.count(), rows.select("node").distinct().count())) or real(rows, *a))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs_of([*enumerate(docs)])).collect()}
+    assert found == dict(enumerate(root)) and 1 < len(set(root)) < len(docs)
+    assert sent and all(rows == nodes < 100 for rows, nodes in sent)
