@@ -34,25 +34,51 @@ def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return F.when(shorter <= 0, F.lit(0.0)).otherwise(shared / shorter)
 
 
+def common_letters(a: str, place: dict[str, int]) -> int:
+    """Length of the longest common subsequence of a and the text whose letters have the bits
+    `place`: matching blocks hold no more letters. A row of the usual table is one number here."""
+    full = v = (1 << max((m.bit_length() for m in place.values()), default=0)) - 1
+    for c in a:
+        u = v & place.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return full.bit_count() - v.bit_count()
+
+
+def letter_places(text: str) -> dict[str, int]:
+    """For each letter of a text, the bits of where it stands."""
+    place: dict[str, int] = {}
+    for i, c in enumerate(text):
+        place[c] = place.get(c, 0) | 1 << i
+    return place
+
+
 def text_similarity(autojunk: bool = True, least: float = 0.0):
     """Arrow UDF of (later text, kept text): the matching-block ratio of their stripped lower
     case. It is not symmetric, and with autojunk it passes over frequent letters of long texts.
-    Pairs whose letters alone rule `least` out get 0; a kept text is analysed once in a row."""
+    Pairs whose letters, or their longest common subsequence, rule `least` out get 0; a kept text
+    is analysed once in a row."""
 
     @F.pandas_udf(DoubleType())
     def ratio(later: pd.Series, kept: pd.Series) -> pd.Series:
         found, matcher, now = [0.0] * len(later), SequenceMatcher(None, "", "", autojunk), ""
+        placed, place = None, {}
         pairs = [(b.lower().strip(), a.lower().strip(), i) for i, (a, b) in enumerate(zip(later, kept, strict=True))]
         for b, a, i in sorted(pairs):
             if not autojunk and (a in b or b in a):  # the shorter one is the longest block there can be
                 found[i] = 2 * min(len(a), len(b)) / (len(a) + len(b)) if a or b else 1.0
                 continue
+            if least and a and b:
+                if 2 * min(len(a), len(b)) / (len(a) + len(b)) < least:
+                    continue
+                if b != placed:
+                    placed, place = b, letter_places(b)
+                if 2 * common_letters(a, place) / (len(a) + len(b)) < least:
+                    continue
             if b != now:
                 matcher.set_seq2(b)
                 now = b
             matcher.set_seq1(a)
-            if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least:
-                found[i] = matcher.ratio()
+            found[i] = matcher.ratio()
         return pd.Series(found, dtype="float64")
 
     return ratio

@@ -6,6 +6,7 @@ import wave
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,23 @@ def test_similarity_of_every_letter_and_its_bounds(spark):
         assert got[0] == want or (want < 0.84 and got[0] < 0.84)  # ruled out early
 
 
+def test_similarity_aligns_few_pairs(spark, monkeypatch):
+    """Texts of the same letters in another order are ruled out without being aligned; ratios stay those of the library."""
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("etaoin shrdlu") for _ in range(n))
+    pairs = [(a := say(300), "".join(rng.sample(a, len(a)))) for _ in range(40)] + [(a := say(300), a[:140] + "x" + a[150:]) for _ in range(3)]
+    pairs = [(a.strip(), b.strip()) for a, b in pairs]
+    aligned, real = [], SequenceMatcher.ratio
+    monkeypatch.setattr(dedup.SequenceMatcher, "ratio", lambda self: aligned.append(1) or real(self))
+    for junk in (False, True):
+        aligned.clear()
+        got = dedup.text_similarity(junk, 0.84).func(*(pd.Series(x) for x in zip(*pairs, strict=True))).tolist()
+        tried = len(aligned)
+        model = [SequenceMatcher(None, a, b, junk).ratio() for a, b in pairs]
+        assert [g for g in got if g >= 0.84] == [m for m in model if m >= 0.84] and all(g in (0, m) for g, m in zip(got, model, strict=True))
+        assert tried <= 3
+
+
 def test_overlap_ratio(spark):
     r = lambda *x: one(spark, dedup.overlap_ratio(*[F.lit(float(v)) for v in x]))
     assert (r(0, 2, 0, 4), r(0, 1, 5, 6), r(3, 3, 0, 9)) == (1.0, 0.0, 0.0)
