@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -169,18 +171,31 @@ def greedy_slots(rows: DataFrame, edges: DataFrame, key: str = "session", look_b
     Sessions are sorted streams: a task holds the edges of one session's open rows, no texts.
     """
     per_row = edges.groupBy(key, "later").agg(F.collect_list(F.struct("kept", "b_wins")).alias("m")).withColumnRenamed("later", "pos")
-    slim = rows.select(key, "pos").join(per_row, [key, "pos"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        matches = {int(p): {int(x["kept"]): bool(x["b_wins"]) for x in m} for p, m in zip(pdf["pos"], pdf["m"], strict=True) if m is not None and len(m)}
-        found = resolve(matches, [int(p) for p in pdf["pos"]], look_back)
-        out = pd.DataFrame(found, columns=["pos", "slot", "turn"])
-        out.insert(0, key, pdf[key].iloc[0])
-        return out
-
-    kind = dict(rows.dtypes)[key]
-    return slim.groupBy(key).applyInPandas(run, f"{key} {kind}, pos long, slot long, turn long")
+    slim = rows.select(key, F.col("pos").cast("long").alias("pos")).join(per_row, [key, "pos"], "left").select(F.col(key).alias("k"), "pos", "m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the rows of the open session
+        for batch in batches:
+            kind, done = batch.schema.field("k").type, []
+            for row in zip(*[batch.column(c).to_pylist() for c in ("k", "pos", "m")], strict=True):
+                if held and held[0][0] != row[0]:
+                    done += settle(held)
+                    held = []
+                held.append(row)
+            yield placed(done, kind)
+        if held:
+            yield placed(settle(held), kind)
+
+    def settle(held: list[tuple]) -> list[tuple]:
+        matches = {pos: {x["kept"]: x["b_wins"] for x in m} for _, pos, m in held if m}
+        return [(held[0][0], *x) for x in resolve(matches, [pos for _, pos, _ in held], look_back)]
+
+    def placed(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["k", "pos", "slot", "turn"])
+
+    found = slim.repartition("k").sortWithinPartitions("k", "pos").mapInArrow(run, f"k {dict(rows.dtypes)[key]}, pos long, slot long, turn long")
+    return found.withColumnRenamed("k", key)
 
 
 def deduplicate(rows: DataFrame, rules: DedupRules = DedupRules(), key: str = "session", bucket: float | None = None) -> DataFrame:

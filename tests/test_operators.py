@@ -198,6 +198,22 @@ def test_resolver_against_loop():
         assert got == slot_model(rows, matches, wins, back)
 
 
+def test_slots_of_many_sessions_are_one_stream(spark):
+    """Sessions go through a task as a stream of batches, none as a group of its own; slots as the resolver's."""
+    rng = random.Random(6)
+    rows = [(f"s{i}" if i else None, pos) for i in range(60) for pos in range(rng.randint(1, 30))]
+    edges = [(k, a, pos, rng.random() < 0.5) for k, pos in rows for a in range(max(0, pos - 4), pos) if k and rng.random() < 0.3]
+    found = dedup.greedy_slots(spark.createDataFrame(rows, "session string, pos long"), spark.createDataFrame(edges, "session string, kept long, later long, b_wins boolean"), look_back=3)
+    want = set()
+    for k in {k for k, _ in rows}:
+        matches = {}
+        for _, a, pos, wins in (e for e in edges if e[0] == k):
+            matches.setdefault(pos, {})[a] = wins
+        want |= {(k, *x) for x in dedup.resolve(matches, sorted(pos for s, pos in rows if s == k), 3)}
+    assert set(map(tuple, found.collect())) == want and len(want) == len(rows)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
 def test_interval_pairs_match_theta_join(spark):
     rng = random.Random(3)
     rows = [("s" + str(rng.randint(0, 2)), i, a := rng.uniform(0, 300), a + rng.choice([0.0, rng.uniform(0, 18)])) for i in range(200)]
