@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,15 @@ def numbered(df: DataFrame, order: list[str], name: str = "place", buckets: int
     Bounds from a sample of keys deal rows into ordered buckets; a bucket's rows are numbered on
     their own, behind the counts of the buckets before it. The bounds decide the balance only.
     """
+    dealt = in_ranges(df, order, buckets)
+    counts = {r["_b"]: r["count"] for r in dealt.groupBy("_b").count().collect()}  # as many rows as buckets
+    before = F.array(*[F.lit(sum(n for b, n in counts.items() if b < i)).cast("long") for i in range(max(counts, default=0) + 1)])
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) + F.element_at(before, F.col("_b") + 1)
+    return dealt.withColumn(name, place).drop("_b")
+
+
+def in_ranges(df: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
+    """The rows with _b, the number of their range of `order` (no nulls); bounds come from a sample of keys."""
     key = F.struct(*[F.col(c) for c in order])
     every = max(1, df.count() // (20 * buckets))
     drawn = df.filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).select(key.alias("k")).limit(100 * buckets).collect()
@@ -29,11 +38,33 @@ def numbered(df: DataFrame, order: list[str], name: str = "place", buckets: int
     bounds = [keys[i * len(keys) // buckets] for i in range(1, buckets)] if len(keys) >= buckets else []
     kinds = dict(df.dtypes)
     literal = [F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, b, strict=True)]) for b in bounds]
-    dealt = df.withColumn("_b", F.size(F.filter(F.array(*literal), lambda b: b <= key)) if bounds else F.lit(0))
-    counts = {r["_b"]: r["count"] for r in dealt.groupBy("_b").count().collect()}  # as many rows as buckets
-    before = F.array(*[F.lit(sum(n for b, n in counts.items() if b < i)).cast("long") for i in range(max(counts, default=0) + 1)])
-    place = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) + F.element_at(before, F.col("_b") + 1)
-    return dealt.withColumn(name, place).drop("_b")
+    return df.withColumn("_b", F.size(F.filter(F.array(*literal), lambda b: b <= key)) if bounds else F.lit(0))
+
+
+def long_islands(df: DataFrame, keys: list[str], order: list[str], look: list[str], joins: Callable[[Column], Column], name: str = "island", buckets: int = 64) -> DataFrame:
+    """islands() where one key may hold most rows (keys and order without nulls, no ties in order).
+
+    `joins` gets a struct of the row before (`look`, null on a first row). A key is cut into
+    ranges of the order: a range's first row sees the last row of the range before, and its
+    islands count on from there, so no task holds a whole key.
+    """
+    cut = [*keys, "_b"]
+
+    def beside(rows: DataFrame, few: DataFrame) -> DataFrame:  # null-safe: an equality makes Spark infer filters with columns of the other side
+        few = few.withColumnsRenamed({c: f"_r{i}" for i, c in enumerate(cut)})
+        same = [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(cut)]
+        return rows.join(few, same).drop(*[f"_r{i}" for i in range(len(cut))])
+
+    dealt = in_ranges(df, order, buckets)
+    ranges = Window.partitionBy(*keys).orderBy("_b")
+    last = dealt.groupBy(*cut).agg(F.max_by(F.struct(*look), F.struct(*order)).alias("_p")).select(*cut, F.lag("_p").over(ranges).alias("_p"))
+    w = Window.partitionBy(*cut).orderBy(*order)
+    found = beside(dealt, last).withColumn("_p", F.coalesce(F.lag(F.struct(*look)).over(w), F.col("_p")))
+    found = found.withColumn("_s", F.when(F.coalesce(joins(F.col("_p")), F.lit(False)), 0).otherwise(1)).drop("_p")
+    sums = found.groupBy(*cut).agg(F.sum("_s").alias("_n"))
+    sums = sums.select(*cut, F.coalesce(F.sum("_n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
+    here = F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return beside(found, sums).withColumn(name, (here + F.col("_n")).cast("long")).select(*df.columns, name)
 
 
 def greedy_packs(df: DataFrame, keys: list[str], order: list[str], cost: str, limit: float, joins: str | None = None, mode: str = "sum", name: str = "pack") -> DataFrame:

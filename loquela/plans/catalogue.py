@@ -356,10 +356,9 @@ i AS (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (ORDER BY pos) AS island
 SELECT CAST(island AS BIGINT) AS island, min(pos) AS first_pos, count(*) AS n FROM i GROUP BY 1""",
 )
 def merge_islands(spark, sf_dir):
-    g = _gapped(spark, sf_dir)
-    w = Window.partitionBy("session").orderBy("pos")
-    gap = F.col("start") - F.lag("end").over(w)
-    found = folds.islands(g, ["session"], ["pos"], (F.col("character") == F.lag("character").over(w)) & (gap >= 0) & (gap <= 600))
+    gap = lambda before: F.col("start") - before["end"]
+    joins = lambda before: (F.col("character") == before["character"]) & (gap(before) >= 0) & (gap(before) <= 600)
+    found = folds.long_islands(_gapped(spark, sf_dir), ["session"], ["pos"], ["character", "end"], joins)
     return found.groupBy("island").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loquela import config
 from loquela.functions import text
@@ -259,6 +260,19 @@ def test_merge_against_loop(spark):
         assert got == merge_model(rows, 1.1, 20)
 
 
+def test_long_islands_match_islands_in_bounded_tasks(spark):
+    """One key with nearly all rows is cut into ranges; islands go on over the cuts."""
+    rng = random.Random(8)
+    rows = [(1 if i % 50 else 2, i, rng.choice("ab") if i < 1500 else "a") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, pos long, c string")
+    w = Window.partitionBy("k").orderBy("pos")
+    want = folds.islands(df, ["k"], ["pos"], F.col("c") == F.lag("c").over(w))
+    found = folds.long_islands(df, ["k"], ["pos"], ["c"], lambda before: F.col("c") == before["c"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 3000
+    sizes = [r["count"] for r in folds.in_ranges(df, ["pos"]).groupBy("_b").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 300
+
+
 def test_packs_and_buckets(spark):
     costs = spark.createDataFrame([(i, c) for i, c in enumerate([5, 5, 20, 1, 9, 1])], "i int, cost int")
     got = [r["pack"] for r in folds.greedy_packs(costs, [], ["i"], "cost", 10).orderBy("i").collect()]
